@@ -149,5 +149,10 @@ def headline(text: Column) -> Column:
     return F.regexp_extract(text, r"^[^.!?\n]*", 0)
 
 
+def fixed2(c: Column) -> Column:
+    """Two decimals; exact halves go to the even digit."""
+    return F.format_string("%.2f", F.bround(c, 2))
+
+
 def line_label(idx: Column, start: Column, end: Column, text: Column) -> Column:
-    return F.concat(F.format_string("[%d] [%.2f - %.2f] ", idx, start, end), F.replace(text, F.lit("\n"), F.lit(" ")))
+    return F.concat(F.lit("["), idx.cast("string"), F.lit("] ["), fixed2(start), F.lit(" - "), fixed2(end), F.lit("] "), F.replace(text, F.lit("\n"), F.lit(" ")))
