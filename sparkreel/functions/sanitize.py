@@ -9,7 +9,7 @@ from sparkreel.functions import text as tx
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def _json(doc: Column, path: str) -> Column:
@@ -146,12 +146,12 @@ def settings_key(video_id: Column, settings_json: Column) -> Column:
 
 
 def watch_hours(minutes: Column) -> Column:
-    return F.round(minutes / 60.0, 2)
+    return tx.py_round(minutes / 60.0)
 
 
 def retention_pct(average_secs: Column, duration: Column) -> Column:
     length = F.coalesce(F.nullif(duration, F.lit(0.0)), F.lit(30.0))
-    return F.when(length > 0, F.least(F.lit(100.0), F.round(average_secs / length * 100, 2))).otherwise(F.lit(0.0))
+    return F.when(length > 0, F.least(F.lit(100.0), tx.py_round(average_secs / length * 100))).otherwise(F.lit(0.0))
 
 
 def caption_margin(p90: Column) -> Column:

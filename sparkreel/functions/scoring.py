@@ -34,32 +34,40 @@ def weighted_score(scores: Column, weights: dict[str, float] = lx.WEIGHTS_A) ->
 
 def adjusted_scores(text: Column, scores: Column) -> Column:
     """Factor values after the wording rules, each within 1..10, as a struct of 11 doubles."""
-    low = tx.strip(F.lower(text))
     opening = F.lower(tx.strip(F.regexp_extract(text, r"^[^.!?]*", 0)))
-    first = F.coalesce(F.get(tx.tokens(opening), F.lit(0)), F.lit(""))
-    filler, strong = first.isin(lx.OPENING_FILLERS), first.isin(lx.OPENING_STRONG)
-    question = first.isin(lx.OPENING_QUESTIONS)
-    conflict = tx.contains_any(low, lx.CONFLICT_PHRASES)
-    surprise = tx.contains_any(low, lx.SURPRISE_PHRASES)
-    prediction = tx.contains_any(low, lx.PREDICTION_PHRASES)
-    mistake = tx.contains_any(low, lx.MISTAKE_PHRASES)
-    secret = tx.contains_any(low, lx.SECRET_PHRASES)
-    number = tx.has_number(low) | tx.contains_any(low, lx.NUMBER_PHRASES)
+    facts = F.struct(tx.strip(F.lower(text)).alias("low"), scores.alias("scores"),
+                     F.coalesce(F.get(tx.tokens(opening), F.lit(0)), F.lit("")).alias("first"))
+
+    def tested(v: Column) -> Column:
+        low, first = v["low"], v["first"]
+        tests = {
+            "filler": first.isin(lx.OPENING_FILLERS), "strong": first.isin(lx.OPENING_STRONG),
+            "question": first.isin(lx.OPENING_QUESTIONS), "conflict": tx.contains_any(low, lx.CONFLICT_PHRASES),
+            "surprise": tx.contains_any(low, lx.SURPRISE_PHRASES), "prediction": tx.contains_any(low, lx.PREDICTION_PHRASES),
+            "mistake": tx.contains_any(low, lx.MISTAKE_PHRASES), "secret": tx.contains_any(low, lx.SECRET_PHRASES),
+            "number": tx.has_number(low) | tx.contains_any(low, lx.NUMBER_PHRASES),
+        }
+        return F.struct(v["scores"].alias("scores"), *[t.alias(n) for n, t in tests.items()])
+
     moves = {
-        "hook_strength": [(filler, -2.0), (strong, 1.0), (number, 1.0)],
-        "first_3_second_hook": [(filler, -2.0), (strong, 1.0)],
-        "curiosity_gap": [(question, 1.0), (prediction, 0.5), (secret, 1.0)],
-        "controversy": [(conflict, 1.0), (mistake, 1.0)],
-        "surprise": [(surprise, 1.0)],
-        "emotional_intensity": [(mistake, 1.0)],
+        "hook_strength": [("filler", -2.0), ("strong", 1.0), ("number", 1.0)],
+        "first_3_second_hook": [("filler", -2.0), ("strong", 1.0)],
+        "curiosity_gap": [("question", 1.0), ("prediction", 0.5), ("secret", 1.0)],
+        "controversy": [("conflict", 1.0), ("mistake", 1.0)],
+        "surprise": [("surprise", 1.0)],
+        "emotional_intensity": [("mistake", 1.0)],
     }
-    fields = []
-    for name in lx.FACTORS:
-        value = factor(scores, name)
-        for test, delta in moves.get(name, []):
-            value = value + F.when(test, F.lit(delta)).otherwise(F.lit(0.0))
-        fields.append(F.greatest(F.lit(1.0), F.least(F.lit(10.0), value)).alias(name))
-    return F.struct(*fields)
+
+    def moved(t: Column) -> Column:
+        fields = []
+        for name in lx.FACTORS:
+            value = factor(t["scores"], name)
+            for test, delta in moves.get(name, []):
+                value = value + F.when(t[test], F.lit(delta)).otherwise(F.lit(0.0))
+            fields.append(F.greatest(F.lit(1.0), F.least(F.lit(10.0), value)).alias(name))
+        return F.struct(*fields)
+
+    return tx.bind(facts, lambda v: tx.bind(tested(v), moved))
 
 
 def virality(adjusted: Column, weights: dict[str, float] = lx.WEIGHTS_A) -> Column:

@@ -91,10 +91,14 @@ def is_non_verbal(text: Column) -> Column:
     cleaned = F.filter(
         F.transform(F.filter(tokens(low), lambda w: ~bracketed(w)), lambda w: F.regexp_replace(w, NOT_WORD, "")),
         lambda w: w != "")
-    ordered = F.array_sort(cleaned)
-    n = F.size(ordered)
-    loops = F.size(F.filter(ordered, lambda w: w == F.get(ordered, F.floor(n / 2).cast("int")))) / n > 0.7
-    return (F.coalesce(strip(text), F.lit("")) == "") | (F.length(kept) < 10) | (n < 5) | F.when(n >= 5, loops).otherwise(True)
+    def noisy(v: Column) -> Column:
+        n = F.size(v["words"])
+        middle = F.get(v["words"], F.floor(n / 2).cast("int"))
+        loops = bind(middle, lambda m: F.size(F.filter(v["words"], lambda w: w == m)) / n > 0.7)
+        return (v["kept"] < 10) | (n < 5) | loops
+
+    facts = F.struct(F.array_sort(cleaned).alias("words"), F.length(kept).alias("kept"))
+    return F.when(F.coalesce(strip(text), F.lit("")) == "", True).otherwise(bind(facts, noisy))
 
 
 def lower_tokens(c: Column) -> Column:
@@ -103,9 +107,11 @@ def lower_tokens(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements of two sets, 0 where either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared / (F.size(a) + F.size(b) - shared))
+    def ratio(s: Column) -> Column:
+        return F.when((s["a"] == 0) | (s["b"] == 0), F.lit(0.0)).otherwise(s["both"] / (s["a"] + s["b"] - s["both"]))
+
+    sizes = F.struct(F.size(a).alias("a"), F.size(b).alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
+    return bind(sizes, ratio)
 
 
 def jaccard_words(a: Column, b: Column) -> Column:
@@ -149,6 +155,11 @@ def headline(text: Column) -> Column:
     return F.regexp_extract(text, r"^[^.!?\n]*", 0)
 
 
+def py_round(c: Column, digits: int = 2) -> Column:
+    """Decimal rounding of the binary value, exact halves to the even digit (Spark's ``round`` works on the printed value)."""
+    return F.bround(c * 10 ** digits) / 10 ** digits
+
+
 def fixed2(c: Column) -> Column:
     """Two decimals; exact halves go to the even digit."""
     return F.format_string("%.2f", F.bround(c, 2))

@@ -80,6 +80,7 @@ def dedup_candidates(candidates: DataFrame, fold_limit: int = FOLD_LIMIT) -> Dat
     nodes = candidates.select("video_id", "ord", F.struct((-score).alias("p"), F.col("ord").alias("o")).alias("rank"),
                               F.col("start_index").alias("s"), F.col("end_index").alias("e"))
     conflict = lambda k, x: (k["s"] <= x["e"]) & (k["e"] >= x["s"])
+    nodes = cut_lineage(nodes)
     small, large = _split_by_size(nodes, fold_limit)
     kept = _fold(small, ["ord", "s", "e"], conflict)
     if large is not None:
@@ -136,22 +137,24 @@ def dedup_clips(clips: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Clips kept by score (by length where there is none) that differ in time, lines, text and hook.
 
     Needs video_id, ord, start_time, end_time, start_index, end_index, virality_score, title,
-    shorts_title and the clip's whole text.
+    shorts_title and the clip's whole text. The input is used several times, so it is staged once.
     """
+    clips = cut_lineage(clips)
     nodes = _clip_nodes(clips)
     small, large = _split_by_size(nodes, fold_limit)
     kept = _fold(small, ["ord", "s", "e", "ls", "le", "words", "hooks"], _clip_conflict)
     if large is not None:
-        kept = kept.unionByName(_settle(_with_groups(large), _interval_conflict))
+        kept = kept.unionByName(_settle(_with_groups(cut_lineage(large)), _interval_conflict))
     return clips.join(kept, ["video_id", "ord"], "left_semi")
 
 
 def drop_reasons(clips: DataFrame, kept: DataFrame) -> DataFrame:
     """Why each dropped clip went: the highest-priority kept clip it conflicts with and the first check that failed."""
-    nodes = _clip_nodes(clips)
+    nodes = cut_lineage(_clip_nodes(clips))
     sets = nodes.select("video_id", "ord", "words", "hooks")
     grouped = _with_groups(nodes).join(sets, ["video_id", "ord"])
     entries = grouped.withColumn("group", F.explode("groups")).drop("groups")
+    entries = cut_lineage(entries)
     cell = F.struct([c for c in entries.columns if c not in ("video_id", "group")])
     held = entries.join(kept.select("video_id", "ord"), ["video_id", "ord"], "left_semi").select("video_id", "group", cell.alias("k"))
     lost = entries.join(kept.select("video_id", "ord"), ["video_id", "ord"], "left_anti").select("video_id", "group", cell.alias("x"))

@@ -135,8 +135,8 @@ def snap_to_silence(clips: DataFrame, silences: DataFrame, search: float = 3.0,
         "video_id", "ord").agg(F.min_by("t", F.struct(F.abs(F.col("t") - F.col("end_time")), "t")).alias("quiet"))
     joined = clips.join(best, ["video_id", "ord"], "left")
     good = (F.abs(F.col("quiet") - F.col("end_time")) <= reach) & (F.col("quiet") - F.col("start_time") >= shortest)
-    return joined.withColumns({"end_time": F.when(good, F.round("quiet", 2)).otherwise(F.col("end_time")),
-                               "audio_refined": F.coalesce(good & (F.round("quiet", 2) != F.col("end_time")), F.lit(False))}).drop("quiet")
+    return joined.withColumns({"end_time": F.when(good, tx.py_round(F.col("quiet"))).otherwise(F.col("end_time")),
+                               "audio_refined": F.coalesce(good & (tx.py_round(F.col("quiet")) != F.col("end_time")), F.lit(False))}).drop("quiet")
 
 
 def match_channel(videos: DataFrame, clips: DataFrame, threshold: float = 0.6, table_order: bool = False) -> DataFrame:

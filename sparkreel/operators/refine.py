@@ -123,7 +123,7 @@ def _clamped(df: DataFrame, margin: float) -> DataFrame:
         "follow": "CASE WHEN e2 + 1 < n_lines THEN get(w, e2 + 1 - o).start END",
         "finish": "CASE WHEN follow < cut AND follow > get(w, e2 - o).start THEN follow ELSE cut END",
     }
-    cells = "named_struct('s', s1, 'e', e2, 'start_time', round(from1, 2), 'end_time', round(finish, 2))"
+    cells = "named_struct('s', s1, 'e', e2, 'start_time', bround(from1 * 100) / 100, 'end_time', bround(finish * 100) / 100)"
     df = df.withColumn("_r", let({**grown, **shrunk}, cells))
     return df.withColumns({c: F.col("_r")[c] for c in ("s", "e", "start_time", "end_time")}).drop("_r")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkreel.functions import text as tx
 from sparkreel.operators import dedup, joins, refine, selection
 from sparkreel.plans import inputs
+from sparkreel.session import cut_lineage
 from sparkreel.plans.registry import query
 from sparkreel.plans.views import VIEWS, ends_sentence, is_hook, jaccard, opens_cleanly, strip, with_views, word_runs, word_set
 
@@ -56,8 +57,8 @@ def clamp_ctes(source: str) -> dict[str, str]:
         "k4": f"""SELECT c.*, fe.start AS last_start, fe.next_start, CASE WHEN {stop('fe')} - begin < 38 THEN least(begin + 35, c.video_end)
             WHEN {stop('fe')} - begin > 58 THEN least(begin + 58, c.video_end) ELSE {stop('fe')} END AS finish
             FROM k3 c JOIN flags fe ON fe.video_id = c.video_id AND fe.idx = c.e""",
-        "k5": """SELECT * EXCLUDE (begin, finish), round(begin, 2) AS start_time, round(CASE WHEN next_start < finish AND next_start > last_start
-            THEN next_start ELSE finish END, 2) AS end_time FROM k4""",
+        "k5": """SELECT * EXCLUDE (begin, finish), round_even(begin * 100, 0) / 100 AS start_time, round_even(CASE WHEN next_start < finish AND next_start > last_start
+            THEN next_start ELSE finish END * 100, 0) / 100 AS end_time FROM k4""",
     }
 
 
@@ -192,7 +193,7 @@ def validate_clips(spark, sf):
     ON k.video_id = n.video_id AND k.rn < n.rn) WHERE reason IS NOT NULL GROUP BY video_id, ord""", "candidates", "flags", **FINAL,
     held="SELECT video_id, k.ord AS ord FROM finished"))
 def drop_reasons(spark, sf):
-    prepared = refine.prepared_clips(_picked(spark, sf), inputs.lines(spark, sf))
+    prepared = cut_lineage(refine.prepared_clips(_picked(spark, sf), inputs.lines(spark, sf)))
     return dedup.drop_reasons(prepared, dedup.dedup_clips(prepared))
 
 
@@ -228,7 +229,7 @@ def _silences(spark, sf):
     return inputs.lines(spark, sf).where("duration < 2.5").select("video_id", (F.col("start") + F.col("duration")).alias("t"))
 
 
-SNAP = """SELECT c.* EXCLUDE (end_time), CASE WHEN ok THEN round(q, 2) ELSE end_time END AS end_time, coalesce(ok AND round(q, 2) <> end_time, false) AS audio_refined
+SNAP = """SELECT c.* EXCLUDE (end_time), CASE WHEN ok THEN round_even(q * 100, 0) / 100 ELSE end_time END AS end_time, coalesce(ok AND round_even(q * 100, 0) / 100 <> end_time, false) AS audio_refined
     FROM (SELECT *, abs(q - end_time) <= 2 AND q - start_time >= 25 AS ok FROM (
       SELECT c.*, (SELECT arg_min(t, [abs(t - c.end_time), t]) FROM silences s WHERE s.video_id = c.video_id
                    AND t BETWEEN greatest(c.start_time, c.end_time - 3) AND c.end_time + 3) AS q FROM {source} c)) c"""
@@ -262,14 +263,14 @@ def even_sample(spark, sf):
 
 @query("merge_selection", with_views("""SELECT s.video_id, s.start_index, s.end_index, coalesce(s.title, c.title) AS title,
     CASE WHEN c.ord IS NULL THEN s.virality_score ELSE c.virality_score END AS virality_score, c.ord
-    FROM (SELECT video_id, ord AS start_index, (end_index - ord % 2)::INTEGER AS end_index, CASE WHEN length(title) > 40 THEN upper(title) END AS title,
+    FROM (SELECT video_id, ord AS start_index, (end_index - ord % 2)::INTEGER AS end_index, CASE WHEN length(title) > 40 THEN 'Best: ' || title END AS title,
                  1e0 AS virality_score FROM candidates) s
     LEFT JOIN (SELECT DISTINCT ON (video_id, start_index, end_index) * FROM candidates ORDER BY video_id, start_index, end_index, ord) c
     USING (video_id, start_index, end_index)""", "candidates"))
 def merge_selection(spark, sf):
     cands = inputs.candidates(spark, sf)
     selected = cands.select("video_id", F.col("ord").alias("start_index"), (F.col("end_index") - F.col("ord") % 2).cast("int").alias("end_index"),
-                            F.when(F.length("title") > 40, F.upper("title")).alias("title"), F.lit(1.0).alias("virality_score"))
+                            F.when(F.length("title") > 40, F.concat(F.lit("Best: "), "title")).alias("title"), F.lit(1.0).alias("virality_score"))
     return selection.merge_selection(selected, cands).select("video_id", "start_index", "end_index", "title", "virality_score", "ord")
 
 
