@@ -79,7 +79,7 @@ def upsert_transcript_metrics(spark, sf):
 VIEWS["channel"] = ([], r"""
     SELECT 'b' || item_id AS id, regexp_extract(text, '^[^.!?\n]*') AS title FROM benchmark
     UNION ALL SELECT 'p' || page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages
-    UNION ALL SELECT 'd' || doc_id, regexp_extract(text, '^[^.!?\n]*') FROM documents WHERE lang <> 'en'""")
+    UNION ALL SELECT 'd' || doc_id, regexp_extract(text, '^[^.!?\n]*') FROM documents""")
 VIEWS["stock"] = (["clips"], "SELECT clip_id, doc_id AS ord, title, video_id || ' ' || title AS shorts_title, CASE WHEN published THEN 'd' || doc_id END AS youtube_video_id, published FROM clips")
 TITLE_WORDS = lambda t: f"list_distinct({tokens(f'lower({t})')})"
 MATCHES = f"""SELECT id, arg_min(clip_id, [rank, ord]) AS clip_id, CASE WHEN min(rank) = 0 THEN 'id' ELSE 'title' END AS matched_by FROM (
@@ -93,7 +93,7 @@ def channel(spark, sf):
     head = tx.headline(F.col("text"))
     bench = inputs.table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), head.alias("title"))
     pages = inputs.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    docs = inputs.table(spark, sf, "documents").where("lang <> 'en'").select(F.concat(F.lit("d"), "doc_id").alias("id"), head.alias("title"))
+    docs = inputs.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), head.alias("title"))
     return bench.unionByName(pages).unionByName(docs).withColumn("desc", F.lit("uploaded"))
 
 
@@ -218,12 +218,12 @@ def published_with_snapshots(spark, sf):
 
 
 # Music library: parts are tracks, the type is the folder; small sizes lie in "default".
-VIEWS["library"] = ([], "SELECT folder || '/' || p_partkey || '.mp3' AS path, folder AS category, p_partkey, p_brand FROM (SELECT *, CASE WHEN p_size < 5 THEN 'default' ELSE lower(p_type) END AS folder FROM part)")
+VIEWS["library"] = ([], "SELECT folder || '/' || p_partkey || '.mp3' AS path, folder AS category, p_partkey, p_brand, p_type, p_size FROM (SELECT *, CASE WHEN p_size < 5 THEN 'default' ELSE lower(p_type) END AS folder FROM part)")
 
 
 def library(spark, sf):
     folder = F.when(F.col("p_size") < 5, "default").otherwise(F.lower("p_type"))
-    return inputs.table(spark, sf, "part").select(F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".mp3")).alias("path"), folder.alias("category"), "p_partkey", "p_brand")
+    return inputs.table(spark, sf, "part").select(F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".mp3")).alias("path"), folder.alias("category"), "p_partkey", "p_brand", "p_type", "p_size")
 
 
 @query("assign_tracks", with_views("""SELECT clip_id, category, coalesce((SELECT min(path) FROM library l WHERE l.category = c.category), (SELECT min(path) FROM library WHERE category = 'default'),
@@ -233,12 +233,12 @@ def assign_tracks(spark, sf):
     return joins.assign_tracks(inputs.clips(spark, sf).select("clip_id", category.alias("category")), library(spark, sf))
 
 
-@query("track_license", with_views("""SELECT path, CASE WHEN p_partkey % 3 = 0 THEN 'base ' || p_brand WHEN p_partkey % 2 = 0 THEN 'full ' || p_brand ELSE 'Unknown (Locally Placed)' END AS license,
-    CASE WHEN p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN p_partkey END AS license_id FROM library""", "library"))
+@query("track_license", with_views("""SELECT path, CASE WHEN p_size < 15 THEN 'base ' || p_brand WHEN p_type = 'ECONOMY' THEN 'full ' || p_brand ELSE 'Unknown (Locally Placed)' END AS license,
+    CASE WHEN p_size < 15 OR p_type = 'ECONOMY' THEN p_partkey END AS license_id FROM library""", "library"))
 def track_license(spark, sf):
     tracks, key = library(spark, sf), F.col("p_partkey")
-    base = tracks.where(key % 3 == 0).select(F.regexp_replace("path", "mp3$", "json").alias("path"), F.concat(F.lit("base "), "p_brand").alias("license"), key.alias("license_id"))
-    full = tracks.where(key % 2 == 0).select(F.concat("path", F.lit(".json")).alias("path"), F.concat(F.lit("full "), "p_brand").alias("license"), key.alias("license_id"))
+    base = tracks.where("p_size < 15").select(F.regexp_replace("path", "mp3$", "json").alias("path"), F.concat(F.lit("base "), "p_brand").alias("license"), key.alias("license_id"))
+    full = tracks.where("p_type = 'ECONOMY'").select(F.concat("path", F.lit(".json")).alias("path"), F.concat(F.lit("full "), "p_brand").alias("license"), key.alias("license_id"))
     return joins.track_license(tracks.select("path"), base.unionByName(full)).select("path", "license", "license_id")
 
 
