@@ -107,7 +107,7 @@ def evict_plan(files: DataFrame, limit: int, target: int) -> DataFrame:
     """
     files = files.where(~F.endswith("path", F.lit(".json")))
     total = files.agg(F.sum("size").alias("t")).scalar()
-    levels = [F.floor(F.col("mtime") / 86400), F.floor("mtime"), F.substring(F.md5("path"), 1, 3)]
+    levels = [F.floor(F.col("mtime") / 86400), F.floor("mtime"), F.col("mtime"), F.substring(F.md5("path"), 1, 3)]
     ordered = running_total(files.withColumn("_hash", F.md5("path")), [], levels, ["mtime", "_hash", "path"], F.col("size"), "through")
     before = F.col("through") - F.col("size")
     return ordered.where((total > limit) & (total - before > target)).select("path", "mtime", "size", "through")

@@ -78,12 +78,12 @@ def qa_failures(spark, sf):
     return reports.qa_failures(reports.camera_qa(telemetry(spark, sf)))
 
 
-@query("caption_placement", """SELECT l_suppkey AS clip_id, p90, CASE WHEN free < 375 THEN 300 WHEN free < 525 THEN 450 ELSE 600 END AS margin_v,
+@query("caption_placement", """SELECT l_suppkey AS clip_id, round(p90, 6) AS p90, CASE WHEN free < 375 THEN 300 WHEN free < 525 THEN 450 ELSE 600 END AS margin_v,
     CASE WHEN free < 375 THEN 'LOW' WHEN free < 525 THEN 'MID' ELSE 'HIGH' END AS face_position FROM (
       SELECT l_suppkey, p90, 1920 - greatest(1350, least(1650, p90 + 80)) AS free FROM (
         SELECT l_suppkey, quantile_cont((l_partkey % 1920)::DOUBLE, 0.9) AS p90 FROM lineitem GROUP BY 1))""")
 def caption_placement(spark, sf):
-    return reports.caption_placement(inputs.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_partkey") % 1920).alias("face_bottom")))
+    return reports.caption_placement(inputs.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_partkey") % 1920).alias("face_bottom"))).withColumn("p90", F.round("p90", 6))
 
 
 @query("boundary_quality_report", with_views(f"""SELECT video_id, count(*) AS clips, count(*) FILTER (start_clean) AS clean_starts, count(*) FILTER (end_clean) AS clean_ends,
