@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sparkreel.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["statistics_queries", "clip_queries", "subtitle_queries", "scalar_queries", "state_queries", "report_queries", "source_queries"]
+MODULES = ["statistics_queries", "clip_queries", "subtitle_queries", "scalar_queries", "state_queries", "report_queries", "source_queries", "stream_queries"]
 
 for _name in MODULES:
     import_module(f"sparkreel.plans.{_name}")

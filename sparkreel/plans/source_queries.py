@@ -132,12 +132,11 @@ def read_silences(spark, sf):
     return logs.read_silences(inputs.lines(spark, sf).select("video_id", "line_idx", F.col("start").alias("scan_start"), log.alias("log"))).select("video_id", "line_idx", "t")
 
 
-@query("read_ass_events", with_views("""SELECT clip_id, chunk::INTEGER AS chunk, round(cs, 1) AS start, replace(upper(replace(array_to_string(ws, ' '), 'ß', '~~')), '~~', 'SS') AS text,
+@query("read_ass_events", with_views("""SELECT clip_id, chunk::INTEGER AS chunk, round(floor(cs) + least(round_even((cs - floor(cs)) * 100, 0), 99) / 100, 2) AS start, replace(upper(replace(array_to_string(ws, ' '), 'ß', '~~')), '~~', 'SS') AS text,
     replace(upper(replace(ws[1], 'ß', '~~')), '~~', 'SS') AS highlight FROM chunks c JOIN timed t USING (clip_id, chunk)
     WHERE NOT regexp_matches(array_to_string(ws, ' '), '[{}]')""", "clip_words", **CHUNKS))
 def read_ass_events(spark, sf):
     shown = sb.render_event_text(sb.subtitle_events(_chunks(spark, sf, style="classic"))).where(~F.array_join(F.transform("words", lambda w: w["word"]), " ").rlike("[{}]"))
-    parsed = logs.parse_ass_events(shown.select("clip_id", "chunk", F.col("chunk_start").alias("exact"), "dialogue"), "dialogue")
-    close = F.abs(F.col("start") - F.col("exact")) < 0.0101
-    return parsed.select("clip_id", F.col("chunk").cast("int").alias("chunk"), F.when(close, F.round("exact", 1)).alias("start"),
+    parsed = logs.parse_ass_events(shown.select("clip_id", "chunk", "dialogue"), "dialogue")
+    return parsed.select("clip_id", F.col("chunk").cast("int").alias("chunk"), F.round("start", 2).alias("start"),
                          F.replace("text", F.lit("\\N"), F.lit(" ")).alias("text"), "highlight")
