@@ -16,7 +16,7 @@ from sparkreel.session import cut_lineage
 
 FOLD_LIMIT = 1024
 TIME_TILE = 64.0
-LINE_TILE = 16
+LINE_TILE = 8
 
 
 def _split_by_size(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -37,31 +37,42 @@ def _fold(nodes: DataFrame, fields: list[str], conflict) -> DataFrame:
     return ordered.select("video_id", F.explode(F.transform(kept, lambda k: k["ord"])).alias("ord"))
 
 
-def _settle(nodes: DataFrame, conflict) -> DataFrame:
-    """(video_id, ord) of the kept clips, by rounds.
-
-    ``nodes`` has ``groups``: every two clips that conflict share a group. ``conflict`` decides on
-    pairs of a group; groups whose name starts with ``=`` hold conflicting clips only.
+def _round(undecided: DataFrame, columns: list[str], conflict) -> DataFrame:
+    """``undecided`` with ``keep`` for clips that lead all their groups and ``drop`` for clips those beat."""
+    id_ = ["video_id", "ord"]
+    entries = undecided.withColumn("group", F.explode("groups"))
+    best = entries.groupBy("video_id", "group").agg(F.min("rank").alias("best"))
+    leaders = entries.join(best, ["video_id", "group"]).groupBy(*id_).agg(
+        F.bool_and(F.col("rank") == F.col("best")).alias("leads")).where("leads").select(*id_)
+    this = F.struct(*columns)
+    leading = entries.join(leaders, id_, "left_semi").select("video_id", "group", this.alias("k"))
+    beaten = entries.join(leading, ["video_id", "group"]).where(
+        (F.col("ord") != F.col("k.ord")) & (F.startswith("group", F.lit("=")) | conflict(F.col("k"), this))).select(*id_).distinct()
+    return undecided.join(leaders.withColumn("keep", F.lit(True)), id_, "left").join(
+        beaten.withColumn("drop", F.lit(True)), id_, "left")
+
+
+def _greedy(nodes: DataFrame, fields: list[str], conflict, with_groups, group_conflict, limit: int) -> DataFrame:
+    """(video_id, ord) of the kept clips.
+
+    ``with_groups`` adds ``groups`` such that every two conflicting clips share one; ``group_conflict``
+    decides on pairs of a group, and groups whose name starts with ``=`` hold conflicting clips only.
+    A video leaves the rounds as soon as few enough of its clips are undecided to be folded: what is
+    undecided conflicts with nothing kept so far.
     """
     id_ = ["video_id", "ord"]
-    undecided, kept = cut_lineage(nodes), None
-    while not undecided.isEmpty():
-        entries = undecided.withColumn("group", F.explode("groups"))
-        best = entries.groupBy("video_id", "group").agg(F.min("rank").alias("best"))
-        leaders = entries.join(best, ["video_id", "group"]).groupBy(*id_).agg(
-            F.bool_and(F.col("rank") == F.col("best")).alias("leads")).where("leads").select(*id_)
-        leading = entries.join(leaders, id_, "left_semi").select(
-            "video_id", "group", F.struct([c for c in nodes.columns if c not in ("video_id", "groups")]).alias("k"))
-        this = F.struct([c for c in nodes.columns if c not in ("video_id", "groups")])
-        beaten = entries.join(leading, ["video_id", "group"]).where(
-            (F.col("ord") != F.col("k.ord")) & (F.startswith("group", F.lit("=")) | conflict(F.col("k"), this))).select(*id_).distinct()
-        verdict = undecided.join(leaders.withColumn("keep", F.lit(True)), id_, "left").join(
-            beaten.withColumn("drop", F.lit(True)), id_, "left")
-        verdict = cut_lineage(verdict)
-        won = verdict.where("keep").select(*id_)
-        kept = won if kept is None else kept.unionByName(won)
-        undecided = verdict.where("keep IS NULL AND drop IS NULL").drop("keep", "drop")
-    return kept if kept is not None else nodes.select(*id_).limit(0)
+    small, undecided = _split_by_size(nodes, limit)
+    kept = _fold(small, fields, conflict)
+    if undecided is None:
+        return kept
+    undecided = cut_lineage(with_groups(undecided))
+    columns = [c for c in undecided.columns if c not in ("video_id", "groups")]
+    while undecided is not None:
+        verdict = cut_lineage(_round(undecided, columns, group_conflict))
+        kept = kept.unionByName(verdict.where("keep").select(*id_))
+        small, undecided = _split_by_size(verdict.where("keep IS NULL AND drop IS NULL").drop("keep", "drop"), limit)
+        kept = kept.unionByName(_fold(nodes.join(small.select(*id_), id_, "left_semi"), fields, conflict))
+    return kept
 
 
 def _tiles(prefix: str, low: Column, high: Column, width: float) -> Column:
@@ -80,12 +91,8 @@ def dedup_candidates(candidates: DataFrame, fold_limit: int = FOLD_LIMIT) -> Dat
     nodes = candidates.select("video_id", "ord", F.struct((-score).alias("p"), F.col("ord").alias("o")).alias("rank"),
                               F.col("start_index").alias("s"), F.col("end_index").alias("e"))
     conflict = lambda k, x: (k["s"] <= x["e"]) & (k["e"] >= x["s"])
-    nodes = cut_lineage(nodes)
-    small, large = _split_by_size(nodes, fold_limit)
-    kept = _fold(small, ["ord", "s", "e"], conflict)
-    if large is not None:
-        grouped = large.withColumn("groups", _tiles("t", F.col("s"), F.col("e") + 1, LINE_TILE))
-        kept = kept.unionByName(_settle(grouped, conflict))
+    tiles = lambda df: df.withColumn("groups", _tiles("t", F.col("s"), F.col("e") + 1, LINE_TILE))
+    kept = _greedy(cut_lineage(nodes), ["ord", "s", "e"], conflict, tiles, conflict, fold_limit)
     return candidates.join(kept, ["video_id", "ord"], "left_semi")
 
 
@@ -140,11 +147,8 @@ def dedup_clips(clips: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     shorts_title and the clip's whole text. The input is used several times, so it is staged once.
     """
     clips = cut_lineage(clips)
-    nodes = _clip_nodes(clips)
-    small, large = _split_by_size(nodes, fold_limit)
-    kept = _fold(small, ["ord", "s", "e", "ls", "le", "words", "hooks"], _clip_conflict)
-    if large is not None:
-        kept = kept.unionByName(_settle(_with_groups(cut_lineage(large)), _interval_conflict))
+    nodes = cut_lineage(_clip_nodes(clips))
+    kept = _greedy(nodes, ["ord", "s", "e", "ls", "le", "words", "hooks"], _clip_conflict, _with_groups, _interval_conflict, fold_limit)
     return clips.join(kept, ["video_id", "ord"], "left_semi")
 
 

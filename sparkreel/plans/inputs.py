@@ -18,7 +18,17 @@ EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table.
+
+    Long texts are costly per row. Where the file splits into fewer parts than there are cores the
+    documents are spread first; a table with enough splits (any large one) is read without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents":
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, "doc_id")
+    return df
 
 
 def micros(ts: Column) -> Column:
