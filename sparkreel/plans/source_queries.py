@@ -40,7 +40,7 @@ CUES = f"""SELECT video_id, start, duration, trim(regexp_replace(regexp_replace(
 def read_subtitles(spark, sf):
     files = _files(spark, sf, lambda l: F.concat(_clock(l["start"]), F.lit(" --> "), _clock(l["start"] + l["duration"]), F.lit("\n"), l["text"], F.lit("\n")))
     content = F.concat(F.lit("WEBVTT\n\nNOTE made from a document\n\n"), F.array_join("cells", "\n"))
-    return transcripts.number_lines(transcripts.parse_subtitles(files.select("video_id", content.alias("content"))))
+    return transcripts.parse_subtitles(files.select("video_id", content.alias("content")))
 
 
 @query("read_transcript_json", with_views("SELECT video_id, line_idx, text, start, duration FROM lines", "lines"))

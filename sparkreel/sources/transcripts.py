@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkreel import lexicon as lx
 from sparkreel.functions import text as tx
@@ -12,7 +12,7 @@ STAMP = r"\d{2}:\d{2}:\d{2}[.,]\d{3}[ \t]*-->[ \t]*\d{2}:\d{2}:\d{2}[.,]\d{3}"
 
 
 def parse_subtitles(files: DataFrame, key: str = "video_id", content: str = "content") -> DataFrame:
-    """(key, text, start, duration) of every cue from WebVTT or SRT text, one row per file in.
+    """(key, line_idx, text, start, duration) of every cue from WebVTT or SRT text, one row per file in.
 
     A file is cut before every line that holds a time stamp, all inside its row, so nothing is
     shuffled. Lines of digits only, ``WEBVTT`` and lines with ``NOTE`` are no speech; tags go, blanks
@@ -23,30 +23,24 @@ def parse_subtitles(files: DataFrame, key: str = "video_id", content: str = "con
     kept = F.array_join(F.filter(lines, lambda l: l.rlike(STAMP) | speech(l)), "\n")
     # Everything before the first stamp belongs to no cue.
     cues = F.filter(F.split(kept, rf"(?m)(?=^[^\n]*{STAMP})"), lambda c: c.rlike(STAMP))
-    rows = files.select(key, F.explode_outer(F.transform(cues, lambda c: F.struct(
-        F.regexp_extract_all(c, F.lit(r"(\d{2}:\d{2}:\d{2}[.,]\d{3})"), F.lit(1)).alias("t"),
-        F.regexp_replace(c, r"^[^\n]*\n?", "").alias("body")))).alias("c"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("c.body", "<[^>]+>", ""), r"[ \t\n\r\f\x0B]+", " "))
-    start, end = tx.parse_clock(F.get("c.t", F.lit(0))), tx.parse_clock(F.get("c.t", F.lit(1)))
-    cells = rows.where("c IS NOT NULL").select(key, text.alias("text"), start.alias("start"),
-                                                F.greatest(F.lit(0.1), end - start).alias("duration")).where("text <> ''")
-    return cells
+    stamps = lambda c: F.regexp_extract_all(c, F.lit(r"(\d{2}:\d{2}:\d{2}[.,]\d{3})"), F.lit(1))
 
+    def cell(c: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(c, r"^[^\n]*\n?", ""), "<[^>]+>", "")
+        return F.struct(F.trim(F.regexp_replace(body, r"[ \t\n\r\f\x0B]+", " ")).alias("text"), stamps(c).alias("t"))
 
-def number_lines(cues: DataFrame, key: str = "video_id") -> DataFrame:
-    """Dense ``line_idx`` per video by start time, without a window over a whole video."""
-    from sparkreel.operators.ordered import running_total
-    hour, minute = F.floor(F.col("start") / 3600), F.floor(F.col("start") / 60)
-    order = ["start", "duration", "text"]
-    ranked = running_total(cues, [key], [hour, minute], order, F.lit(1), "_n")
-    return ranked.select(key, (F.col("_n") - 1).cast("int").alias("line_idx"), "text", "start", "duration")
+    # The position among the non-empty cues of a file is the line index.
+    spoken = F.filter(F.transform(cues, cell), lambda l: l["text"] != "")
+    rows = files.select(key, F.posexplode(spoken).alias("line_idx", "l"))
+    start, end = tx.parse_clock(F.get("l.t", F.lit(0))), tx.parse_clock(F.get("l.t", F.lit(1)))
+    return rows.select(key, "line_idx", F.col("l.text").alias("text"), start.alias("start"), F.greatest(F.lit(0.1), end - start).alias("duration"))
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """Subtitle files below ``path``; the file name without its suffix is the video."""
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1).alias("video_id"), F.col("value").alias("content"))
-    return number_lines(parse_subtitles(files))
+    return parse_subtitles(files)
 
 
 def parse_transcript_json(files: DataFrame, key: str = "video_id", content: str = "content") -> DataFrame:
