@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import sharding, url_rules
+from sparkreel.llm import personal_data, sharding, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = read(spark, sf_dir, "pages").select(F.col("page_id").alias("clip_id"), F.col("url").alias("youtube_url"))
     rules = spark.sql(f"SELECT * FROM VALUES {_RULE_ROWS} AS r(host, path, verdict)")
     return url_rules.url_verdicts(uploads, rules).select(F.col("clip_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(transcripts(read(spark, sf_dir, "documents")))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == personal_data.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    return found.select(F.col("video_id").alias("doc_id"), *map(count, personal_data.KINDS),
+                        F.sha2(personal_data.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        personal_data.span_list(F.col("spans")).alias("spans"))
