@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import personal_data, sharding, url_rules
+from sparkreel.llm import near_duplicates, personal_data, sharding, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("video_id").alias("doc_id"), *map(count, personal_data.KINDS),
                         F.sha2(personal_data.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         personal_data.span_list(F.col("spans")).alias("spans"))
+
+
+@query()
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(transcripts(read(spark, sf_dir, "documents")), words=4).withColumnRenamed("video_id", "doc_id")
