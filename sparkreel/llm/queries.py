@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import near_duplicates, personal_data, sharding, url_rules
+from sparkreel.llm import near_duplicates, near_vectors, personal_data, sharding, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(transcripts(read(spark, sf_dir, "documents")), words=4).withColumnRenamed("video_id", "doc_id")
+
+
+@query()
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("vector"), "label")
+    return near_vectors.near_vectors(clips, cosine=0.98).withColumnRenamed("clip_id", "vec_id")
