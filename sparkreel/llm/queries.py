@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import near_duplicates, near_vectors, personal_data, sharding, url_rules
+from sparkreel.llm import near_duplicates, near_vectors, personal_data, sharding, toxicity, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,21 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("vector"), "label")
     return near_vectors.near_vectors(clips, cosine=0.98).withColumnRenamed("clip_id", "vec_id")
+
+
+def _third(key: str):
+    """crc32 of a key as text, modulo 3; rows where it is 1 are held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3, F.lit(0))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    learnt = read(spark, sf_dir, "labels").filter(_third("doc_id") != 1)
+    return toxicity.fit(transcripts(docs), learnt.select(F.col("doc_id").alias("video_id"), "toxic"))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(transcripts(docs), toxicity_model(spark, docs, sf_dir))
+    return scored.select(F.col("video_id").alias("doc_id"), (_third("video_id") == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
@@ -50,35 +50,39 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = PIEC
             yield batch.slice(a, b - a)
 
 
-def _word_hashes(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start positions of the words in ``raw``; ``first`` marks bytes that begin a text."""
-    solid = ~SEPARATORS[raw]
+def _piece(raw: np.ndarray, first: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and stops of the words in ``raw``; ``first`` marks bytes that begin a text."""
+    solid = ~separators[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1] | first[1:]
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | first[1:]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[LOWER[raw]] * _powers(FACTOR, len(raw)), dtype=np.uint64)])
-    hashes = (sums[stops] - sums[starts]) * _powers(INVERSE, len(raw) + 1)[starts]
-    return mixed(hashes + (stops - starts).astype(np.uint64)), starts
+    return span_hashes(LOWER[raw], starts, stops), starts, stops
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per word (A-Z lower-cased, separators 0x20 and 0x09-0x0D) and the number of words before each text."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * _powers(FACTOR, len(raw)), dtype=np.uint64)])
+    return mixed((sums[stops] - sums[starts]) * _powers(INVERSE, len(raw) + 1)[starts] + (stops - starts).astype(np.uint64))
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of each word (A-Z lower-cased) and the number of words before each text."""
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
-    hashes, starts, at = [], [], 0
+    parts, at = [], 0
     while at < len(raw):
         stop = at + PIECE
-        while stop < len(raw) and not SEPARATORS[raw[stop]] and not first[stop]:
+        while stop < len(raw) and not separators[raw[stop]] and not first[stop]:
             stop += 1
-        h, s = _word_hashes(raw[at:stop], first[at:min(stop, len(raw))])
-        hashes.append(h)
-        starts.append(s + at)
+        h, a, b = _piece(raw[at:stop], first[at:min(stop, len(raw))], separators)
+        parts.append((h, a + at, b + at))
         at = stop
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    hashes, starts, stops = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, starts, stops, np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +91,7 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     A text of fewer words has its whole sequence as its one shingle; a text without words has none.
     """
     raw, offsets = text_buffer(column)
-    hashes, before = word_hashes(raw, offsets)
+    hashes, _, _, before = word_spans(raw, offsets)
     counts = np.diff(before)
     whole = np.zeros(len(hashes), np.uint64)
     for k in range(words):
