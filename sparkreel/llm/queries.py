@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import near_duplicates, near_vectors, personal_data, sharding, toxicity, url_rules
+from sparkreel.llm import decontamination, near_duplicates, near_vectors, personal_data, sharding, toxicity, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(transcripts(docs), toxicity_model(spark, docs, sf_dir))
     return scored.select(F.col("video_id").alias("doc_id"), (_third("video_id") == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"""
+        SELECT DISTINCT {key}, array_to_string(w[i + 1 : i + 5], ' ') AS shingle
+        FROM (SELECT {key}, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i
+              FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+@query(f"""
+WITH parts AS ({_shingles('benchmark', 'item_id')}),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM parts GROUP BY 1),
+held AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ({_shingles('documents', 'doc_id')}) JOIN parts USING (shingle) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM held JOIN sizes USING (item_id) WHERE n_shared * 100 >= n_shingles * 80
+""")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("clip_id"), "text")
+    found = decontamination.contaminated(transcripts(read(spark, sf_dir, "documents")), held_out)
+    return found.withColumnsRenamed({"video_id": "doc_id", "clip_id": "item_id"})
