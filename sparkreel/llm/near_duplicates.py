@@ -14,9 +14,16 @@ from sparkreel.session import cut_lineage
 
 BANDS, ROWS = 21, 3
 SLOTS = BANDS * ROWS
-#: Slots that must agree in their low four bits before two whole sets are compared: 4.9 standard deviations below what J = 0.8 gives.
-AGREE = 36
+#: Texts that share a bucket get a longer signature, four bits a slot. Two whole sets are compared if at least AGREE slots agree,
+#: five standard deviations below what a similarity of 0.8 gives.
+LONG = 255
+AGREE = 176
+LONGS = (LONG + 1) // 16
 LEVEL = np.uint64(32)
+#: Further rounds of comparisons with a central member.
+ROUNDS = 1
+BLOCK = 256
+RANK_BITS = 20
 
 
 def super_minhash(elements: np.ndarray, before: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -77,13 +84,10 @@ def _signed(words: int):
             for r in range(ROWS):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + table[:, r::ROWS])
             keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
-            nibbles = np.zeros((len(table), 64), np.uint64)
-            nibbles[:, :SLOTS] = mixed(table) & np.uint64(15)
-            packed = (nibbles.reshape(-1, 4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
             rows = len(table)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("video_id"), pa.array(np.diff(before)), _digests(sets, before), _lists(keys.ravel(), np.full(rows, BANDS)),
-                 _lists(packed.ravel(), np.full(rows, 4))], ["video_id", "n_shingles", "digest", "keys", "packed"])
+                [batch.column("video_id"), pa.array(np.diff(before)), _digests(sets, before), _lists(keys.ravel(), np.full(rows, BANDS))],
+                ["video_id", "n_shingles", "digest", "keys"])
     return run
 
 
@@ -91,18 +95,92 @@ def _whole_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "transcript"):
             sets, before = shingle_sets(batch.column("transcript"), words)
-            yield pa.RecordBatch.from_arrays([_digests(sets, before), _lists(sets, np.diff(before))], ["digest", "items"])
+            table = super_minhash(sets, before, LONG)
+            nibbles = np.zeros((len(table), LONG + 1), np.uint64)
+            nibbles[:, :LONG] = mixed(table) & np.uint64(15)
+            packed = (nibbles.reshape(-1, LONGS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([_digests(sets, before), _lists(sets, np.diff(before)), _lists(packed.ravel(), np.full(len(table), LONGS))],
+                                             ["digest", "items", "packed"])
+    return run
+
+
+def _slot(items: np.ndarray) -> np.ndarray:
+    return (mixed(items) >> np.uint64(64 - RANK_BITS)).astype(np.int64)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of 2 ** RANK_BITS slots; no more rows reach the driver, whatever the input."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RANK_BITS, np.int64)
+        for batch in batches:
+            items = batch.column("items").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount(_slot(items), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    rows = sets.select("items").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RANK_BITS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    """Each set's rarest shingles, as many that two sets linked must share one (prefix filter)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("items")
+            digests, shingles = [], []
+            for digest, items in zip(batch.column("digest").to_pylist(), column, strict=True):
+                own = items.values.to_numpy(zero_copy_only=False)
+                n = len(own) - -(-percent * len(own) // 100) + 1
+                shingles.append(own[np.lexsort((own, counts[_slot(own.view(np.uint64))]))[:n]])
+                digests.extend([digest] * n)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(shingles))], ["digest", "shingle"])
+    return run
+
+
+def _compared(percent: int):
+    """Strays against the members of a group, block by block; rows come sorted by block pair, one of which is held at a time."""
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        stray = rows.column("stray").to_numpy(zero_copy_only=False)
+        left, right = rows.filter(pa.array(stray)), rows.filter(pa.array(~stray)).combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            return
+        items = right.column("items").chunk(0)
+        flat, sizes = items.flatten().to_numpy().view(np.uint64), np.diff(items.offsets.to_numpy())
+        starts, names = np.cumsum(sizes) - sizes, right.column("digest").to_pylist()
+        for digest, own in zip(left.column("digest").to_pylist(), left.column("items").to_pylist(), strict=True):
+            own = np.array(own, np.int64).view(np.uint64)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), starts)
+            to = [names[k] for k in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common))]
+            if to:
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(to), pa.binary()), pa.array(to, pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            task = held.column("task").to_numpy()
+            root = held.column("root").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((task[1:] != task[:-1]) | (root[1:] != root[:-1])) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from links(held.slice(a, b - a))
+            held = held.slice(cuts[-1])
+        if held is not None:
+            yield from links(held)
     return run
 
 
 def _agreeing(a: Column, b: Column) -> Column:
-    """Slots whose low four bits agree, of 64 (the last one always does)."""
+    """Slots of the long signatures whose four bits agree."""
     def differing(k: int) -> Column:
         x = a[k].bitwiseXOR(b[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(SLOTS) - (differing(0) + differing(1) + differing(2) + differing(3))
+    return F.lit(LONG) - sum((differing(k) for k in range(1, LONGS)), differing(0))
 
 
 def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -112,11 +190,12 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     the size of the set, the smallest video_id reachable by links, and whether it is the row's own.
 
     Equal sets are one class from the start, so copies cost one row each. Classes meet where one of 21 bands of three SuperMinHash slots
-    agrees (a pair at 0.8 is missed with probability 7e-7). In a bucket no list of pairs is made: all members are compared with one
-    of them, the same in all bands as far as possible; then, where a bucket still holds several groups, with another one drawn for
-    each band; in the end what is outside a bucket's largest group is compared with all members of other groups. Pairs whose
-    signatures agree in fewer than 36 slots are passed over (five standard deviations), all others are linked or not on their whole
-    sets. So all links that matter for the groups are found, and a group of many copies costs work in proportion.
+    agrees (a pair at 0.8 is missed with probability 7e-7). In a bucket no list of pairs is made. First all members are compared
+    with a central one, the likely source of the others; then, where a bucket still holds several groups, with a central one of those
+    outside the largest. What is then outside a bucket's largest group is compared with all members of every group it shares one of its
+    rarest shingles with (a link can't do without), in blocks that yield nothing but links. A pair is linked or not on its whole
+    sets; of pairs of single texts only those are passed over whose long signatures agree too little, by five standard deviations. So
+    all links that matter for the groups are found, and a group of copies costs work in proportion.
 
     NULL and empty transcripts, or such without words, have an empty set and are linked with nothing. Texts of fewer than ``words``
     words have one shingle, the whole sequence. A NULL video_id counts as larger than any other; rows with equal ids are rows of their own.
@@ -124,20 +203,20 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     rows = transcripts.select("video_id", "transcript")
     id_type = rows.schema["video_id"].dataType.simpleString()
     signed = cut_lineage(rows.mapInArrow(
-        _signed(words), f"video_id {id_type}, n_shingles bigint, digest binary, keys array<bigint>, packed array<bigint>"))
+        _signed(words), f"video_id {id_type}, n_shingles bigint, digest binary, keys array<bigint>"))
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("digest").agg(F.min("video_id").alias("first"), F.first("keys").alias("keys"), F.first("packed").alias("packed"))
+    classes = filled.groupBy("digest").agg(F.min("video_id").alias("first"), F.first("keys").alias("keys"))
     members = classes.select("digest", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
     members = cut_lineage(members.join(shared.select("key"), "key").select("key", "digest"))
 
-    needed = members.select("digest").distinct().join(classes.select("digest", "first", "packed"), "digest")
-    needed = cut_lineage(needed)
+    needed = members.select("digest").distinct().join(classes.select("digest", "first", "keys"), "digest")
     ids = needed.select(F.col("first").alias("_id")).distinct()
     texts = rows.join(ids, F.col("video_id").eqNullSafe(F.col("_id")), "left_semi").select("transcript")
-    sets = texts.mapInArrow(_whole_sets(words), "digest binary, items array<bigint>").join(needed.select("digest"), "digest", "left_semi")
-    sets = cut_lineage(sets.groupBy("digest").agg(F.first("items").alias("items")))
-    packs = needed.select("digest", "packed")
+    sets = texts.mapInArrow(_whole_sets(words), "digest binary, items array<bigint>, packed array<bigint>")
+    sets = cut_lineage(sets.join(needed.select("digest", "keys"), "digest").groupBy("digest").agg(
+        *[F.first(c).alias(c) for c in ("items", "packed", "keys")], F.first(F.size("items")).alias("n")))
+    packs = sets.select("digest", "packed", "keys", "n")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)`` the links."""
@@ -153,24 +232,52 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
         roots = components(links)
         return members.join(roots, members.digest == roots.node, "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
 
-    low = members.groupBy("key").agg(F.min("digest").alias("a"))
-    links = cut_lineage(confirmed(members.join(low, "key").select("a", F.col("digest").alias("b")).filter("a <> b").distinct()))
-
-    now = cut_lineage(grouped(links))
-    open_keys = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    now = now.join(open_keys, "key")
-    drawn = now.groupBy("key").agg(F.min_by(F.struct("digest", "root"), F.xxhash64("digest", "key")).alias("rep"))
-    pairs = now.join(drawn, "key").filter("root <> rep.root").select(F.col("rep.digest").alias("a"), F.col("digest").alias("b")).distinct()
-    links = cut_lineage(links.union(confirmed(pairs)))
-
-    now = cut_lineage(grouped(links).join(packs, "digest"))
-    sizes = now.groupBy("key", "root").count()
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("groups"))
-    strays = now.join(largest.filter("groups > 1"), "key").filter("root <> most").select(
-        "key", F.col("digest").alias("a"), F.col("root").alias("root_a"), F.col("packed").alias("packed_a"))
-    met = strays.join(now, (strays.key == now.key) & (strays.root_a != now.root) & (_agreeing(F.col("packed_a"), F.col("packed")) >= AGREE))
-    pairs = met.select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
-    links = links.union(confirmed(pairs))
+    def central(rows: DataFrame) -> DataFrame:
+        """Per bucket the member that agrees most with eight members drawn at random: ``(key, a, root_a)``.
+
+        In a group of copies that is the text they were made from, which is linked with most of them.
+        """
+        drawn = rows.groupBy("key").agg(*[F.min_by("packed", F.xxhash64("digest", "key", F.lit(k))).alias(f"p{k}") for k in range(8)])
+        score = sum((_agreeing(F.col("packed"), F.col(f"p{k}")) for k in range(1, 8)), _agreeing(F.col("packed"), F.col("p0")))
+        return rows.join(drawn, "key").groupBy("key").agg(F.max_by(F.struct("digest", "root"), F.struct(score.alias("s"), "digest")).alias("c")).select(
+            "key", F.col("c.digest").alias("a"), F.col("c.root").alias("root_a"))
+
+    def outside(rows: DataFrame) -> DataFrame:
+        """Of the buckets that hold several groups, the members outside the largest."""
+        sizes = rows.groupBy("key", "root").count()
+        largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("groups"))
+        return rows.join(largest.filter("groups > 1").select("key", "most"), "key").filter("root <> most").drop("most")
+
+    def against(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        return rows.join(centres, "key").filter("root <> root_a").select("a", F.col("digest").alias("b")).distinct()
+
+    alone = members.join(packs, "digest").withColumn("root", F.col("digest"))
+    links = cut_lineage(confirmed(against(alone, central(alone))))
+    for _ in range(ROUNDS):
+        now = cut_lineage(grouped(links).join(packs, "digest"))
+        links = cut_lineage(links.union(confirmed(against(now, central(outside(now))))))
+
+    now = grouped(links).join(packs.select("digest", "n"), "digest")
+    roots = cut_lineage(now.select("digest", "root").distinct())
+    strays = outside(now).select("digest").distinct()
+    rare = sets.mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint").join(roots, "digest")
+    kept = rare.join(strays, "digest", "left_semi").select("shingle", F.col("digest").alias("stray"), F.col("root").alias("own_root"))
+    facts = roots.join(packs, "digest").groupBy("root").agg(F.count("*").alias("size"), F.first("packed").alias("packed"), F.first("n").alias("n"))
+    met = kept.join(rare.select("shingle", "root").distinct(), "shingle").filter("root <> own_root").select("stray", "root").distinct()
+    met = met.join(facts, "root").join(packs.select(F.col("digest").alias("stray"), F.col("packed").alias("packed_a"), F.col("n").alias("n_a")), "stray")
+    of_size = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
+    met = cut_lineage(met.filter((F.col("size") > 1) | (of_size & (_agreeing(F.col("packed_a"), F.col("packed")) >= AGREE))).select("stray", "root", "size"))
+
+    counts = met.groupBy("root").agg(F.count("*").alias("strays"), F.first("size").alias("size"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda name, n: F.pmod(F.xxhash64(name), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = met.select("root", "stray").join(counts, "root").select(F.col("stray").alias("digest"), "root", F.lit(True).alias("stray"), own("stray", "strays").alias("i"), every("size").alias("j"))
+    right = roots.join(counts, "root").select("digest", "root", F.lit(False).alias("stray"), every("strays").alias("i"), own("digest", "size").alias("j"))
+    task = F.xxhash64("root", "i", "j").alias("task")
+    meetings = left.union(right).select("digest", "root", "stray", task).join(sets.select("digest", "items"), "digest")
+    found = meetings.repartition("task", "root").sortWithinPartitions("task", "root").mapInArrow(_compared(percent), "a binary, b binary")
+    links = links.union(found)
 
     roots = components(links)
     place = F.struct(F.col("first").isNull().alias("absent"), "first")
