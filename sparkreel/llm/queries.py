@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import decontamination, near_duplicates, near_vectors, personal_data, sharding, toxicity, url_rules
+from sparkreel.llm import decontamination, near_duplicates, near_vectors, packing, personal_data, sharding, toxicity, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("clip_id"), "text")
     found = decontamination.contaminated(transcripts(read(spark, sf_dir, "documents")), held_out)
     return found.withColumnsRenamed({"video_id": "doc_id", "clip_id": "item_id"})
+
+
+@query()
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(transcripts(read(spark, sf_dir, "documents"))).select(
+        F.col("video_id").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), F.col("window_id").alias("sequence_id"), "offset")
