@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import decontamination, near_duplicates, near_vectors, packing, personal_data, sharding, toxicity, url_rules
+from sparkreel.llm import attribution, decontamination, fixity, near_duplicates, near_vectors, packing, personal_data, sharding, toxicity, url_rules
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,43 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(transcripts(read(spark, sf_dir, "documents"))).select(
         F.col("video_id").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), F.col("window_id").alias("sequence_id"), "offset")
+
+
+#: Pages an archive holds, and the bytes reserved for each.
+ARCHIVE_PAGES, SLOT = 1000, 1 << 20
+
+
+def _warc(html: str) -> Column:
+    """A WARC response record of a page."""
+    body = F.coalesce(F.col(html), F.lit(""))
+    return F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "),
+                    F.octet_length(body), F.lit("\r\n\r\n"), body)
+
+
+@query(f"""
+WITH records AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+    || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head, coalesce(html, '') AS body,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM pages),
+sides AS (SELECT page_id, CASE WHEN page_id % 509 <> 3 THEN sha256(head || strlen(body) || gap || body) END AS l,
+    CASE WHEN page_id % 503 <> 5 THEN sha256(head || strlen(b) || gap || b) END AS r
+    FROM (SELECT *, CASE WHEN page_id % 499 = 7 THEN replace(body, '<p>', '<q>') ELSE body END AS b FROM records))
+SELECT page_id, 'pages-' || (page_id // {ARCHIVE_PAGES}) AS archive, (page_id % {ARCHIVE_PAGES}) * {SLOT} AS record_offset,
+    CASE WHEN l IS NULL THEN 'missing_left' WHEN r IS NULL THEN 'missing_right' ELSE 'changed' END AS status, l AS left_sha256, r AS right_sha256
+FROM sides WHERE l IS DISTINCT FROM r
+""")
+def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive, against a replica in which pages were lost on either side and altered, by their numbers."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    place = [F.concat(F.lit("pages-"), F.floor(F.col("page_id") / ARCHIVE_PAGES)).alias("archive"),
+             (F.col("page_id") % ARCHIVE_PAGES * SLOT).alias("record_offset")]
+    left = pages.filter("page_id % 509 <> 3").select(*place, _warc("html").alias("payload"))
+    altered = pages.withColumn("html", F.when(F.col("page_id") % 499 == 7, F.replace("html", F.lit("<p>"), F.lit("<q>"))).otherwise(F.col("html")))
+    right = altered.filter("page_id % 503 <> 5").select(*place, _warc("html").alias("payload"))
+    number = F.substring_index("archive", "-", -1).cast("bigint") * ARCHIVE_PAGES + (F.col("record_offset") / SLOT).cast("bigint")
+    return fixity.audit_replicas(left, right).select(
+        number.alias("page_id"), "archive", "record_offset", "status", F.col("left_digest").alias("left_sha256"), F.col("right_digest").alias("right_sha256"))
+
+
+@query()
+def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.token_counts(transcripts(read(spark, sf_dir, "documents")), rule="first").withColumnRenamed("video_id", "doc_id")
