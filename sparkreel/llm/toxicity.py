@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkreel.llm.shingles import LOWER, mixed, span_hashes, text_buffer, text_slices, word_spans
 
@@ -220,4 +220,4 @@ def score_toxicity(transcripts: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Model(**shared.value).scores(batch.column("transcript")))], [*batch.schema.names, "score"])
 
     rows = transcripts.select("video_id", "transcript")
-    return rows.mapInArrow(scored, f"video_id {rows.schema['video_id'].dataType.simpleString()}, transcript string, score double")
+    return rows.mapInArrow(scored, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
