@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkreel.llm.records import let
 from sparkreel.session import cut_lineage
 
 #: Tables of up to this many narrow rows (some 32 MB) are broadcast; larger ones are joined by a shuffle.
@@ -47,9 +48,9 @@ def contaminated(transcripts: DataFrame, held_out: DataFrame, words: int = 5, pe
     such items are found only in transcripts that are this sequence. NULL texts and texts without words neither hold nor are held. A
     NULL video_id or clip_id is a value like any other; repeated rows give one pair.
     """
-    items = held_out.select("clip_id", word_list(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    slices = lambda w: F.array_distinct(F.transform(_starts(w, words), lambda i: F.array_join(F.slice(w, i + 1, F.lit(words)), " ")))
-    items = items.select("clip_id", slices(F.col("w")).alias("shingles")).withColumn("item", F.sha2(F.array_join("shingles", "\n").cast("binary"), 256))
+    cut_up = lambda text: let(word_list(text), lambda w: F.array_distinct(F.transform(
+        F.when(F.size(w) > 0, _starts(w, words)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(words)), " "))))
+    items = held_out.select("clip_id", cut_up(F.col("text")).alias("shingles")).filter("shingles IS NOT NULL").withColumn("item", F.sha2(F.array_join("shingles", "\n").cast("binary"), 256))
     distinct = items.groupBy("item").agg(F.first("shingles").alias("shingles")).select(
         "item", "shingles", F.size("shingles").alias("n_shingles"), F.floor(F.log2(F.size("shingles"))).cast("int").alias("size_class"))
     # Of n shingles, n * (100 - percent) / 100 may be lacking; 2 ** (class + 1) is above every n of the class.
@@ -60,16 +61,17 @@ def contaminated(transcripts: DataFrame, held_out: DataFrame, words: int = 5, pe
         F.col("x.hash").alias("hash")).agg(F.min("size_class").alias("least_class")))
 
     docs = transcripts.select("video_id", "transcript")
-    listed = docs.select("video_id", word_list(F.col("transcript")).alias("w")).filter(F.size("w") > 0)
-    hashes = F.transform(_starts(F.col("w"), words), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(words)]))
-    rows = listed.select("video_id", F.size(_starts(F.col("w"), words)).alias("places"), F.explode(hashes).alias("hash"))
-    # A class fits if the share of its smallest item does.
+    hashes = let(word_list(F.col("transcript")), lambda w: F.transform(
+        F.when(F.size(w) > 0, _starts(w, words)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])))
+    rows = docs.select("video_id", hashes.alias("hashes")).select("video_id", F.explode(F.array(F.struct("hashes", F.size("hashes").alias("places")))).alias("x"))
+    rows = rows.select("video_id", "x.places", F.explode("x.hashes").alias("hash"))
+    # A class fits if the share of its smallest item does; a transcript that holds it has as many places.
     fits = F.col("places") * 100 >= F.pow(F.lit(2.0), F.col("least_class")) * percent
     hits = rows.join(sketches, "hash").filter(fits).select(F.col("video_id").alias("hit")).distinct()
     hits = _if_small(hits)
 
     near = docs.join(hits, F.col("video_id").eqNullSafe(F.col("hit")), "left_semi")
-    cut = near.select("video_id", F.xxhash64("transcript").alias("text"), F.explode(slices(word_list(F.col("transcript")))).alias("shingle"))
+    cut = near.select("video_id", F.xxhash64("transcript").alias("text"), F.explode(cut_up(F.col("transcript"))).alias("shingle"))
     wanted = _if_small(distinct.select("item", "n_shingles", F.explode("shingles").alias("shingle")))
     # Repeated rows would count a shingle twice.
     shared = cut.join(wanted, "shingle").groupBy("video_id", "text", "item", "n_shingles").agg(F.count_distinct("shingle").alias("n_shared"))

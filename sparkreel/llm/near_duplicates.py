@@ -18,6 +18,8 @@ SLOTS = BANDS * ROWS
 #: five standard deviations below what a similarity of 0.8 gives.
 LONG = 255
 AGREE = 176
+#: The same for the first four numbers, 64 slots.
+SHORT, AGREE_SHORT = 4, 36
 LONGS = (LONG + 1) // 16
 LEVEL = np.uint64(32)
 #: Further rounds of comparisons with a central member.
@@ -173,14 +175,14 @@ def _compared(percent: int):
     return run
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    """Slots of the long signatures whose four bits agree."""
+def _agreeing(a: Column, b: Column, longs: int = LONGS) -> Column:
+    """Slots of the long signatures, or of their first ``longs`` numbers, whose four bits agree."""
     def differing(k: int) -> Column:
         x = a[k].bitwiseXOR(b[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(LONG) - sum((differing(k) for k in range(1, LONGS)), differing(0))
+    return F.lit(min(16 * longs, LONG)) - sum((differing(k) for k in range(1, longs)), differing(0))
 
 
 def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -238,7 +240,7 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
         In a group of copies that is the text they were made from, which is linked with most of them.
         """
         drawn = rows.groupBy("key").agg(*[F.min_by("packed", F.xxhash64("digest", "key", F.lit(k))).alias(f"p{k}") for k in range(8)])
-        score = sum((_agreeing(F.col("packed"), F.col(f"p{k}")) for k in range(1, 8)), _agreeing(F.col("packed"), F.col("p0")))
+        score = sum((_agreeing(F.col("packed"), F.col(f"p{k}"), SHORT) for k in range(1, 8)), _agreeing(F.col("packed"), F.col("p0"), SHORT))
         return rows.join(drawn, "key").groupBy("key").agg(F.max_by(F.struct("digest", "root"), F.struct(score.alias("s"), "digest")).alias("c")).select(
             "key", F.col("c.digest").alias("a"), F.col("c.root").alias("root_a"))
 
@@ -257,16 +259,25 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
         now = cut_lineage(grouped(links).join(packs, "digest"))
         links = cut_lineage(links.union(confirmed(against(now, central(outside(now))))))
 
-    now = grouped(links).join(packs.select("digest", "n"), "digest")
-    roots = cut_lineage(now.select("digest", "root").distinct())
+    now = cut_lineage(grouped(links))
+    shared_out = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    opened = now.join(shared_out, "key").select("digest").distinct()
     strays = outside(now).select("digest").distinct()
-    rare = sets.mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint").join(roots, "digest")
-    kept = rare.join(strays, "digest", "left_semi").select("shingle", F.col("digest").alias("stray"), F.col("root").alias("own_root"))
-    facts = roots.join(packs, "digest").groupBy("root").agg(F.count("*").alias("size"), F.first("packed").alias("packed"), F.first("n").alias("n"))
-    met = kept.join(rare.select("shingle", "root").distinct(), "shingle").filter("root <> own_root").select("stray", "root").distinct()
-    met = met.join(facts, "root").join(packs.select(F.col("digest").alias("stray"), F.col("packed").alias("packed_a"), F.col("n").alias("n_a")), "stray")
-    of_size = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
-    met = cut_lineage(met.filter((F.col("size") > 1) | (of_size & (_agreeing(F.col("packed_a"), F.col("packed")) >= AGREE))).select("stray", "root", "size"))
+    roots = cut_lineage(now.select("digest", "root").distinct())
+    rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint"))
+    # A group of one text is met only if its size and the first slots of its signature allow a link; they ride along with its shingles.
+    brief = packs.select("digest", "n", F.slice("packed", 1, SHORT).alias("brief"))
+    own = strays.join(roots, "digest").join(brief, "digest").select(
+        F.col("digest").alias("stray"), F.col("root").alias("own_root"), F.col("n").alias("own_n"), F.col("brief").alias("own_brief"))
+    kept = rare.join(own, F.col("digest") == F.col("stray")).drop("digest")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    facts = roots.join(sizes, "root").join(brief, "digest").select("digest", "root", "size", F.when(F.col("size") == 1, F.col("n")).alias("n"),
+                                                                   F.when(F.col("size") == 1, F.col("brief")).alias("brief"))
+    marks = rare.join(facts, "digest").drop("digest").distinct()
+    of_size = F.least("own_n", "n") * 100 >= F.greatest("own_n", "n") * percent
+    alike = (F.col("size") > 1) | (of_size & (_agreeing(F.col("own_brief"), F.col("brief"), SHORT) >= AGREE_SHORT))
+    met = kept.join(marks.withColumnRenamed("shingle", "mark"), (F.col("shingle") == F.col("mark")) & (F.col("root") != F.col("own_root")) & alike)
+    met = cut_lineage(met.select("stray", "root", "size").distinct())
 
     counts = met.groupBy("root").agg(F.count("*").alias("strays"), F.first("size").alias("size"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")

@@ -6,6 +6,8 @@ A document is the transcript of one video: ``transcripts(video_id, transcript)``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -26,6 +28,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, also where it is used inside lambdas and where the optimizer merges projections."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def as_long(hex_digits: Column) -> Column:
     """The number written by up to 15 hexadecimal digits."""
     return F.conv(hex_digits, 16, 10).cast("bigint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,6 +89,14 @@ class Model:
     spreads: np.ndarray | None = None
     weights: np.ndarray | None = None
 
+    def sent(self) -> dict:
+        """What tasks need, small enough to be broadcast: the tables are mostly zeros."""
+        return vars(self) | {"tables": {k: zlib.compress(v.tobytes(), 1) for k, v in self.tables.items()}}
+
+    @classmethod
+    def received(cls, parts: dict) -> Model:
+        return cls(**parts | {"tables": {k: np.frombuffer(zlib.decompress(v), np.float32) for k, v in parts["tables"].items()}})
+
     def word_ratios(self, spellings: list[bytes]) -> np.ndarray:
         """ln P(word | toxic) - ln P(word | ordinary) per symbol, for each spelling."""
         t = self.tables
@@ -186,11 +195,12 @@ def fit(transcripts: DataFrame, feedback: DataFrame, sample: int = 30_000, seed:
               | _array(follow, "tail", follow="n") | _array(follow, "tail_context", follow_sum="n", follow_kinds="1"))
     kinds.unpersist()
     model = Model(tables)
-    shared = transcripts.sparkSession.sparkContext.broadcast(vars(model))
+    shared = transcripts.sparkSession.sparkContext.broadcast(model.sent())
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        received = Model.received(shared.value)
         for batch in text_slices(batches, "transcript"):
-            x = Model(**shared.value).features(batch.column("transcript"))
+            x = received.features(batch.column("transcript"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "x"])
 
@@ -213,11 +223,12 @@ def score_toxicity(transcripts: DataFrame, model: Model) -> DataFrame:
     words, the best words and the mean of the whole text are compared by a calibrated logistic. Only the text enters the score. NULL and
     empty transcripts count as a text of no words; repeated rows get equal scores; other columns are not carried.
     """
-    shared = transcripts.sparkSession.sparkContext.broadcast(vars(model))
+    shared = transcripts.sparkSession.sparkContext.broadcast(model.sent())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        received = Model.received(shared.value)
         for batch in text_slices(batches, "transcript"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Model(**shared.value).scores(batch.column("transcript")))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(received.scores(batch.column("transcript")))], [*batch.schema.names, "score"])
 
     rows = transcripts.select("video_id", "transcript")
     return rows.mapInArrow(scored, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
