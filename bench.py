@@ -27,7 +27,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", "bench", spark__sql__shuffle__partitions=cpus)
+    spark = build_session(f"local[{cpus}]", "bench", spark__sql__shuffle__partitions=cpus, sparkreel__document__partitions=cpus)
     queries = catalog.all_queries()
     # Start the JVM's code paths on a small read, so that the first query is not charged for them.
     queries["performance_correlations"](spark, sf_dir).collect()

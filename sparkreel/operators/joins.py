@@ -60,11 +60,13 @@ def _nearest(times: DataFrame, points: DataFrame, at: str, out: str) -> DataFram
     bounds = filled.groupBy("video_id").agg(F.min("tile").alias("low"), F.max("tile").alias("high"))
     spine = bounds.select("video_id", F.explode(F.sequence("low", "high")).alias("tile"))
     by_tile = Window.partitionBy("video_id").orderBy("tile")
-    tiles = spine.join(filled, ["video_id", "tile"], "left").select(
-        "video_id", "tile", F.coalesce("pts", F.array()).alias("pts"),
-        F.last("last", True).over(by_tile.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", True).over(by_tile.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    near = F.array_compact(F.concat("pts", F.array("before", "after")))
+    # Both neighbours are running values, one in each direction; the points themselves are joined to the tiles afterwards.
+    falling = Window.partitionBy("video_id").orderBy(F.desc("tile"))
+    edges = spine.join(filled.drop("pts"), ["video_id", "tile"], "left").select(
+        "video_id", "tile", F.last("last", True).over(by_tile.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.last("first", True).over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
+    tiles = edges.join(filled.select("video_id", "tile", "pts"), ["video_id", "tile"], "left")
+    near = F.array_compact(F.concat(F.coalesce("pts", F.array()), F.array("before", "after")))
     tiles = tiles.select("video_id", "tile", near.alias("near"))
     placed = times.join(bounds, "video_id").withColumn(
         "tile", F.greatest(F.col("low"), F.least(F.col("high"), F.floor(F.col(at) / TIME_TILE)))).drop("low", "high")

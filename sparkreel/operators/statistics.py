@@ -133,9 +133,9 @@ def arm_weights(clips: DataFrame, arms: DataFrame) -> DataFrame:
     """Score of every clip under the weights of its arm.
 
     ``arms`` is (variant_id, weights MAP): one row per arm, so the join is a lookup and the factors
-    never leave their row.
+    never leave their row. A clip whose arm is unknown keeps its row and has no score.
     """
-    joined = clips.join(arms, "variant_id")
+    joined = clips.join(arms, "variant_id", "left")
     total = F.aggregate(F.map_entries("weights"), F.lit(0.0),
                         lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("detailed_scores", e["key"]), F.lit(5.0)))
     return joined.withColumn("arm_score", F.round(total, 2)).drop("weights")

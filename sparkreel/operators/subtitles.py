@@ -189,13 +189,17 @@ def fifo_track_choice(clips: DataFrame, library: DataFrame, memory: int = 5) ->
     """The lowest track of the clip's category that is not among the last ``memory`` tracks of its job.
 
     Needs clips (job_id, seq, clip_id, category), where a job holds the few clips of one request, and
-    library (path, category). Where every track was used lately the choice starts over.
+    library (path, category). Where every track was used lately the choice starts over. A category without tracks takes those of
+    ``default``, then any; a clip for which there is none at all keeps its row, with a NULL track.
     """
-    tracks = library.groupBy("category").agg(F.array_sort(F.collect_set("path")).alias("tracks"))
-    rows = clips.join(tracks, "category").groupBy("job_id").agg(
+    listed = F.array_sort(F.collect_set("path")).alias("tracks")
+    tracks = library.groupBy("category").agg(listed)
+    rest = library.agg(F.array_sort(F.collect_set(F.when(F.col("category") == "default", F.col("path")))).alias("own"), listed)
+    fallback = rest.select(F.when(F.size("own") > 0, F.col("own")).when(F.size("tracks") > 0, F.col("tracks")).alias("tracks"))
+    rows = clips.join(tracks, "category", "left").withColumn("tracks", F.coalesce("tracks", fallback.scalar())).groupBy("job_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "clip_id", "tracks"))).alias("all"))
     picked = F.expr(f"""aggregate(all, named_struct('used', cast(array() AS array<string>), 'out', cast(array() AS array<struct<clip_id:string,track:string>>)),
         (a, x) -> get(transform(array(coalesce(get(array_except(x.tracks, a.used), 0), get(x.tracks, 0))), t -> named_struct(
-            'used', slice(array_append(a.used, t), greatest(1, size(a.used) + 2 - {memory}), {memory}),
+            'used', if(t is null, a.used, slice(array_append(a.used, t), greatest(1, size(a.used) + 2 - {memory}), {memory})),
             'out', array_append(a.out, named_struct('clip_id', x.clip_id, 'track', t)))), 0), a -> a.out)""")
     return rows.select("job_id", F.explode(picked).alias("p")).select("job_id", "p.*")

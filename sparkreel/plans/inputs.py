@@ -18,17 +18,13 @@ EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.
+    """One driver table, read as it is.
 
-    Long texts are costly per row. Where the file splits into fewer parts than there are cores the
-    documents are spread first; a table with enough splits (any large one) is read without a shuffle.
+    A session may set ``sparkreel.document.partitions`` where its documents lie in one file that can't be split, as on a laptop.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "documents":
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, "doc_id")
-    return df
+    spread = spark.conf.get("sparkreel.document.partitions", None) if name == "documents" else None
+    return df.repartition(int(spread), "doc_id") if spread else df
 
 
 def micros(ts: Column) -> Column:

@@ -17,7 +17,6 @@ def build_session(master: str = "local[8]", app: str = "sparkreel", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
@@ -35,13 +34,16 @@ def build_session(master: str = "local[8]", app: str = "sparkreel", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, laptops) a temporary one is set.
+    Where none is named, a local master (tests, laptops) gets a temporary one; on a cluster that is an error, as executors don't
+    share their own disks.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sparkreel-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -1,15 +1,25 @@
-"""Small reports as Markdown text."""
+"""Reports as Markdown text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report frame as a Markdown table; reports are short, ``limit`` guards the driver."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"a report of more than {limit} rows belongs in a file")
-    head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    return "\n".join([head] + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])
+def _cell(name: str, kind: str) -> Column:
+    shown = F.format_string("%.4f", F.col(name)) if kind in ("double", "float") else F.col(name).cast("string")
+    return F.when(F.col(name).isNull(), "").otherwise(shown)
+
+
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """``(line)``: one Markdown table row per row of a report, of any length, to be written as text files below ``markdown_head``."""
+    cells = [_cell(name, kind) for name, kind in df.dtypes]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_head(df: DataFrame) -> str:
+    return "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
+
+
+def markdown_table(df: DataFrame, rows: int = 1000) -> str:
+    """The first ``rows`` rows of a report as a Markdown table, for showing; the whole report is written by ``markdown_lines``."""
+    return "\n".join([markdown_head(df), *[r.line for r in markdown_lines(df).take(rows)]])

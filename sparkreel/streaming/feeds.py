@@ -15,10 +15,21 @@ from sparkreel.operators import ordered, statistics
 from sparkreel.session import new_folder
 
 
-def read_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """A file stream of one table; ``ts`` becomes an instant, read as UTC, since watermarks need one."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
+def read_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files: int | None = None) -> DataFrame:
+    """A file stream of one table, a folder of part files or a single file, with at most ``files`` files per micro-batch.
+
+    ``ts`` becomes an instant, read as UTC, since watermarks need one.
+    """
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    rows = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
     instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts")))
     return rows.withColumn("ts", instant)
 
