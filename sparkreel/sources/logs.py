@@ -10,18 +10,27 @@ from sparkreel.functions import text as tx
 EMOJI = "[\\x{1F300}-\\x{1F6FF}\\x{2600}-\\x{27BF}\\x{1F900}-\\x{1F9FF}\\x{1FA70}-\\x{1FAFF}]"
 
 
+def _readings(log: str, unit: str) -> tuple[Column, Column]:
+    """Names and numbers of all ``name: number unit`` readings of a log, in order."""
+    pattern = F.lit(rf"(\w+): *(-?[0-9.]+) *{unit}")
+    return F.regexp_extract_all(log, pattern, F.lit(1)), F.regexp_extract_all(log, pattern, F.lit(2))
+
+
 def read_loudness(df: DataFrame, log: str = "log") -> DataFrame:
     """Mean and peak volume in dB, -15 and 0 where the log has none."""
+    names, values = _readings(log, "dB")
+
     def level(name: str, default: float) -> Column:
-        found = F.regexp_extract(log, rf"{name}:\s*(-?\d+\.?\d*)\s*dB", 1)
+        found = F.get(values, (F.array_position(names, name) - 1).cast("int"))
         return F.coalesce(found.try_cast("double"), F.lit(default)).alias(name)
     return df.select("*", level("mean_volume", -15.0), level("max_volume", 0.0))
 
 
 def read_silences(df: DataFrame, log: str = "log", offset: str = "scan_start") -> DataFrame:
     """One row per silence start, in absolute seconds."""
-    found = F.regexp_extract_all(log, F.lit(r"silence_start:\s*([\d.]+)"), F.lit(1))
-    rows = df.select("*", F.explode(found).alias("_t"))
+    names, values = _readings(log, "")
+    found = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda x: x["name"] == "silence_start")
+    rows = df.select("*", F.explode(F.transform(found, lambda x: x["value"])).alias("_t"))
     return rows.withColumn("t", F.col(offset) + F.col("_t").try_cast("double")).where("t IS NOT NULL").drop("_t")
 
 

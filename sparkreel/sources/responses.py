@@ -15,7 +15,12 @@ CLIP = "struct<title:string,start_index:int,end_index:int,reason:string,virality
 def find_json(reply: Column) -> Column:
     """The part of a reply that should be JSON: all of it, a fenced block, or the outermost brackets."""
     text = F.trim(F.regexp_replace(reply, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?[ \t\n\r]*([\{\[].*?[\}\]])[ \t\n\r]*```", 1)
+    # Between the first two fence marks, without the name of the language.
+    block = F.split(text, "`{3}", 3)
+    inner = F.regexp_replace(F.get(block, F.lit(1)), r"^json|[ \t\n\r]+$", "")
+    inner = F.regexp_replace(inner, r"^[ \t\n\r]+", "")
+    bracketed = F.left(inner, F.lit(1)).isin("{", "[") & F.right(inner, F.lit(1)).isin("}", "]")
+    fenced = F.when((F.size(block) == 3) & bracketed, inner).otherwise("")
     opened = F.regexp_extract(text, r"(?s)([\{\[].*)$", 1)
     closed = F.when(F.startswith(opened, F.lit("{")), F.regexp_extract(opened, r"(?s)^(\{.*\})", 1)).otherwise(
         F.regexp_extract(opened, r"(?s)^(\[.*\])", 1))
