@@ -20,6 +20,7 @@ LONG = 255
 AGREE = 176
 #: The same for the first four numbers, 64 slots.
 SHORT, AGREE_SHORT = 4, 36
+PIVOTS = 6
 LONGS = (LONG + 1) // 16
 LEVEL = np.uint64(32)
 #: Further rounds of comparisons with a central member.
@@ -212,13 +213,13 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     shared = members.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
     members = cut_lineage(members.join(shared.select("key"), "key").select("key", "digest"))
 
-    needed = members.select("digest").distinct().join(classes.select("digest", "first", "keys"), "digest")
+    needed = members.select("digest").distinct().join(classes.select("digest", "first"), "digest")
     ids = needed.select(F.col("first").alias("_id")).distinct()
     texts = rows.join(ids, F.col("video_id").eqNullSafe(F.col("_id")), "left_semi").select("transcript")
     sets = texts.mapInArrow(_whole_sets(words), "digest binary, items array<bigint>, packed array<bigint>")
-    sets = cut_lineage(sets.join(needed.select("digest", "keys"), "digest").groupBy("digest").agg(
-        *[F.first(c).alias(c) for c in ("items", "packed", "keys")], F.first(F.size("items")).alias("n")))
-    packs = sets.select("digest", "packed", "keys", "n")
+    sets = cut_lineage(sets.join(needed.select("digest"), "digest").groupBy("digest").agg(
+        *[F.first(c).alias(c) for c in ("items", "packed")], F.first(F.size("items")).alias("n")))
+    packs = sets.select("digest", "packed", "n")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)`` the links."""
@@ -235,12 +236,12 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
         return members.join(roots, members.digest == roots.node, "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
 
     def central(rows: DataFrame) -> DataFrame:
-        """Per bucket the member that agrees most with eight members drawn at random: ``(key, a, root_a)``.
+        """Per bucket the member that agrees most with PIVOTS members drawn at random: ``(key, a, root_a)``.
 
         In a group of copies that is the text they were made from, which is linked with most of them.
         """
-        drawn = rows.groupBy("key").agg(*[F.min_by("packed", F.xxhash64("digest", "key", F.lit(k))).alias(f"p{k}") for k in range(8)])
-        score = sum((_agreeing(F.col("packed"), F.col(f"p{k}"), SHORT) for k in range(1, 8)), _agreeing(F.col("packed"), F.col("p0"), SHORT))
+        drawn = rows.groupBy("key").agg(*[F.min_by("brief", F.xxhash64("digest", "key", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+        score = sum((_agreeing(F.col("brief"), F.col(f"p{k}"), SHORT) for k in range(1, PIVOTS)), _agreeing(F.col("brief"), F.col("p0"), SHORT))
         return rows.join(drawn, "key").groupBy("key").agg(F.max_by(F.struct("digest", "root"), F.struct(score.alias("s"), "digest")).alias("c")).select(
             "key", F.col("c.digest").alias("a"), F.col("c.root").alias("root_a"))
 
@@ -253,10 +254,11 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     def against(rows: DataFrame, centres: DataFrame) -> DataFrame:
         return rows.join(centres, "key").filter("root <> root_a").select("a", F.col("digest").alias("b")).distinct()
 
-    alone = members.join(packs, "digest").withColumn("root", F.col("digest"))
+    brief = packs.select("digest", "n", F.slice("packed", 1, SHORT).alias("brief"))
+    alone = members.join(brief.drop("n"), "digest").withColumn("root", F.col("digest"))
     links = cut_lineage(confirmed(against(alone, central(alone))))
     for _ in range(ROUNDS):
-        now = cut_lineage(grouped(links).join(packs, "digest"))
+        now = cut_lineage(grouped(links).join(brief.drop("n"), "digest"))
         links = cut_lineage(links.union(confirmed(against(now, central(outside(now))))))
 
     now = cut_lineage(grouped(links))
@@ -266,7 +268,6 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     roots = cut_lineage(now.select("digest", "root").distinct())
     rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint"))
     # A group of one text is met only if its size and the first slots of its signature allow a link; they ride along with its shingles.
-    brief = packs.select("digest", "n", F.slice("packed", 1, SHORT).alias("brief"))
     own = strays.join(roots, "digest").join(brief, "digest").select(
         F.col("digest").alias("stray"), F.col("root").alias("own_root"), F.col("n").alias("own_n"), F.col("brief").alias("own_brief"))
     kept = rare.join(own, F.col("digest") == F.col("stray")).drop("digest")
