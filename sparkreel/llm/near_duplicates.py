@@ -278,7 +278,10 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     of_size = F.least("own_n", "n") * 100 >= F.greatest("own_n", "n") * percent
     alike = (F.col("size") > 1) | (of_size & (_agreeing(F.col("own_brief"), F.col("brief"), SHORT) >= AGREE_SHORT))
     met = kept.join(marks.withColumnRenamed("shingle", "mark"), (F.col("shingle") == F.col("mark")) & (F.col("root") != F.col("own_root")) & alike)
-    met = cut_lineage(met.select("stray", "root", "size").distinct())
+    # Before whole sets are sent, the long signatures of single texts are compared.
+    single = roots.join(sizes.filter("size = 1"), "root").join(packs, "digest").select("root", F.col("packed").alias("root_packed"))
+    met = met.select("stray", "root", "size").distinct().join(single, "root", "left").join(packs.withColumnRenamed("digest", "stray"), "stray")
+    met = cut_lineage(met.filter((F.col("size") > 1) | (_agreeing(F.col("packed"), F.col("root_packed")) >= AGREE)).select("stray", "root", "size"))
 
     counts = met.groupBy("root").agg(F.count("*").alias("strays"), F.first("size").alias("size"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
