@@ -393,3 +393,11 @@ def test_personal_data(spark, awkward, empty):
     one = personal_data.find_personal_data(spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!"), (2, None), (3, "none")], "video_id bigint, transcript string"), {})
     assert [r[0] for r in one.orderBy("video_id").select(personal_data.redacted(F.col("transcript"), F.col("spans"))).collect()] == ["é <email>, <ip>!", None, "none"]
     assert one.filter("video_id = 1").select(personal_data.span_list(F.col("base"))).first()[0] == "email:2:8,ip:10:17"
+
+
+def test_spoken_addresses_are_proposed_in_any_text(spark):
+    texts = ["write to jane [at] example.com soon", "write to jane(at)example.com", "write to jane at example.com", "jane [at] mail dot example.org", "meet me at home"]
+    df = spark.createDataFrame(list(enumerate(texts)), "video_id bigint, transcript string")
+    every = {"email": personal_data.Trees([1.0], [1.0], 0.0)}  # takes whatever is proposed
+    got = {r.video_id: [r.transcript[x.start:x.stop] for x in r.spans] for r in personal_data.find_personal_data(df, every).collect()}
+    assert got == {0: ["jane [at] example.com"], 1: ["jane(at)example.com"], 2: ["jane at example.com"], 3: ["jane [at] mail dot example.org"], 4: []}
