@@ -401,3 +401,10 @@ def test_spoken_addresses_are_proposed_in_any_text(spark):
     every = {"email": personal_data.Trees([1.0], [1.0], 0.0)}  # takes whatever is proposed
     got = {r.video_id: [r.transcript[x.start:x.stop] for x in r.spans] for r in personal_data.find_personal_data(df, every).collect()}
     assert got == {0: ["jane [at] example.com"], 1: ["jane(at)example.com"], 2: ["jane at example.com"], 3: ["jane [at] mail dot example.org"], 4: []}
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    single = [f"{'ab ' * k} mail x{k}@mail.example.com and host {k % 250}.2.3.4" for k in range(150)]
+    copied = [f"{'cd ' * k} page 12 34 56 of {k}" for k in range(20)] * 500
+    df = spark.createDataFrame(list(enumerate(single + copied)), "video_id bigint, transcript string")
+    assert {"email", "ip"} <= set(personal_data.fit(df, sample=250, least=20))
