@@ -62,6 +62,21 @@ def test_contaminated_documents_go_and_clean_ones_stay(spark, sf, docs):
     assert kept.count() == docs.count() and kept.filter("doc_id = 90").count() == 0
 
 
+def test_rows_are_dropped_one_by_one_where_ids_are_null_or_repeat(spark, sf):
+    words = lambda seed, n: " ".join(f"w{(seed * 7919 + k * 104729) % 5003}" for k in range(n))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    row = lambda doc_id, text: (doc_id, text, "en", "s", 1)
+    # Of each list the first rows stay.
+    clean = [row(None, words(1, 80)), row(5, words(2, 80)), row(3, words(3, 80)), (None, words(4, 80), None, "en", 1), (None, words(5, 80), "en", None, 1)]
+    table = lambda rows: spark.createDataFrame(rows, DOCUMENT)
+    kept = stages.drop_contaminated(spark, table(clean + [row(None, "x " + item), row(5, item + " x")]), sf)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, table(clean).collect()))
+    alike = [row(5, words(3, 79) + " other"), row(None, words(1, 79) + " other"), row(None, words(2, 80)), row(3, words(3, 78) + " one more")]
+    texts = [r.text for r in stages.drop_near_duplicates(spark, table(clean + alike), sf).collect()]
+    first = lambda seed: [t for t in texts if t.startswith(words(seed, 70))]
+    assert len(texts) == 5 and [len(first(k)) for k in range(1, 6)] == [1] * 5 and first(2) == [words(2, 80)]
+
+
 def test_redaction_changes_only_spans(spark, sf, docs):
     before = {r.doc_id: r for r in docs.collect()}
     for r in stages.redact_personal_data(spark, docs, sf).collect():
