@@ -38,9 +38,13 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 
 def _encoded(path: str, window: int):
-    """Per transcript its full windows and, of what remains, the ids and a key that brings like remainders together."""
+    """Per transcript its full windows and, of what remains, the ids and a key that brings like remainders together. A last row per task,
+    with ``row`` -1, holds in how many of its transcripts each token stands."""
+    names = ["video_id", "row", "tokens", "crcs", "ids", "near", "found"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
+        found = np.zeros(1 << 16, "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -48,6 +52,7 @@ def _encoded(path: str, window: int):
                 crcs: list[list[int]] = []
                 for text in part.column("transcript").to_pylist():
                     ids = np.append(np.asarray(tokens.encode_to_numpy(text or "", disallowed_special=()), np.uint32), np.uint32(END)).astype("<u4")
+                    found[np.unique(ids)] += 1
                     full = len(ids) // window
                     rest = ids[full * window:]
                     crcs.append([zlib.crc32(ids[k * window:(k + 1) * window].tobytes()) for k in range(full)])
@@ -59,38 +64,53 @@ def _encoded(path: str, window: int):
                     out["near"].append(int(pairs.min() >> np.uint64(1)) if len(pairs) else 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("video_id"), part.column("row"), pa.array(out["tokens"], pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
-                     pa.array(out["ids"], pa.binary()), pa.array(out["near"], pa.int64())],
-                    ["video_id", "row", "tokens", "crcs", "ids", "near"])
+                     pa.array(out["ids"], pa.binary()), pa.array(out["near"], pa.int64()), pa.nulls(part.num_rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], t) for x, t in ((None, pa.int64()), (-1, pa.int64()), (0, pa.int64()), ([], pa.list_(pa.int64())), (b"", pa.binary()), (0, pa.int64()),
+                                           (zlib.compress(found.tobytes(), 1), pa.binary()))], names)
     return run
 
 
 class Shard:
-    """An inverted BM25 index over the remainders of one shard. ``idf`` holds the weight of each token in the whole corpus."""
+    """An inverted BM25 index over the remainders of one shard. ``idf`` holds the weight of each token in the whole corpus, ``average``
+    the length of its documents (without it, that of ``docs``).
+
+    Tokens of more than an eighth of the documents are rows of a matrix, which has at most eight places per token of the shard.
+    """
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, average: float | None = None):
         lengths = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), lengths)
         key, count = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
         term, self.doc = key // len(docs), key % len(docs)
-        scale = K1 * (1 - B + B * lengths / lengths.mean())
+        scale = K1 * (1 - B + B * lengths / (average or lengths.mean()))
         self.weight = (idf[term] * count * (K1 + 1) / (count + scale[self.doc])).astype(np.float32)
         self.bounds = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.idf, self.size = idf, len(docs)
+        self.size = len(docs)
+        common = np.flatnonzero(8 * np.diff(self.bounds) > self.size)
+        self.place = np.full(len(idf), -1)
+        self.place[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.size), np.float32)
+        dense = self.place[term] >= 0
+        self.matrix[self.place[term[dense]], self.doc[dense]] = self.weight[dense]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """BM25 of every document of the shard for the distinct tokens of ``query`` that weigh anything."""
+        """BM25 of every document of the shard for the distinct tokens of ``query``."""
         terms = np.unique(query)
-        terms = terms[self.idf[terms] > 0]
+        asked = np.zeros(len(self.matrix), np.float32)
+        asked[self.place[terms[self.place[terms] >= 0]]] = 1
+        out = (asked @ self.matrix).astype(float)
+        terms = terms[self.place[terms] < 0]
         spans = [slice(a, b) for a, b in zip(self.bounds[terms].tolist(), self.bounds[terms + 1].tolist(), strict=True)]
         if not spans:
-            return np.zeros(self.size)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.size)
+            return out
+        return out + np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.size)
 
 
-def fill_windows(docs: list[np.ndarray], idf: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+def fill_windows(docs: list[np.ndarray], idf: np.ndarray, window: int, average: float | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length). The longest unused document is the seed; its unused neighbours follow by BM25,
     and the one that no longer fits is cut, its rest staying unused. Only the last window can be short."""
-    shard = Shard(docs, idf)
+    shard = Shard(docs, idf, average)
     left = np.array([len(d) for d in docs])
     start = np.zeros(len(docs), np.int64)
     order = np.argsort(-left, kind="stable")
@@ -118,12 +138,12 @@ def fill_windows(docs: list[np.ndarray], idf: np.ndarray, window: int) -> list[l
         windows.append(pieces)
 
 
-def _packed(idf_values, window: int, capacity: int):
+def _packed(statistics, window: int, capacity: int):
     """Rows come in shard order; a shard ends when it holds ``capacity`` tokens, so one shard is held at a time."""
-    def flush(rows: list[tuple], part: int, number: int, idf: np.ndarray) -> pa.RecordBatch:
+    def flush(rows: list[tuple], part: int, number: int, idf: np.ndarray, average: float) -> pa.RecordBatch:
         docs = [np.frombuffer(r[3], "<u4") for r in rows]
         out: dict[str, list] = {k: [] for k in ("video_id", "row", "start", "length", "ids_crc32", "tokens", "part", "window", "offset")}
-        for k, pieces in enumerate(fill_windows(docs, idf, window)):
+        for k, pieces in enumerate(fill_windows(docs, idf, window, average)):
             offset = 0
             for doc, start, length in pieces:
                 video, row, tokens, _ = rows[doc]
@@ -137,7 +157,7 @@ def _packed(idf_values, window: int, capacity: int):
     schema = pa.schema([("video_id", pa.int64()), *[(k, pa.int64()) for k in ("row", "start", "length", "ids_crc32", "tokens", "part", "window", "offset")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = idf_values.value
+        idf, average = statistics.value
         rows, held, number, part = [], 0, 0, 0
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("video_id", "row", "tokens", "ids", "part")], strict=True):
@@ -145,32 +165,32 @@ def _packed(idf_values, window: int, capacity: int):
                 rows.append(row[:4])
                 held += len(row[3]) // 4
                 if held >= capacity:
-                    out = flush(rows, part, number, idf)
+                    out = flush(rows, part, number, idf, average)
                     yield out
                     number += out.column("window")[-1].as_py() - number + 1
                     rows, held = [], 0
         if rows:
-            yield flush(rows, part, number, idf)
+            yield flush(rows, part, number, idf, average)
     return run
 
 
-def corpus_idf(remainders: DataFrame) -> np.ndarray:
-    """BM25 weight of each token id over all remainders. Tokens in more than a quarter of them say little and weigh nothing. 65,536
-    rows reach the driver at most."""
+def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, float]:
+    """BM25 weight of each token id, and the average length, over the whole token sequences of all transcripts. Every token weighs
+    something, however common. 65,536 rows reach the driver at most."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << 16, np.int64), 0
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total[np.unique(np.frombuffer(ids, "<u4"))] += 1
-                rows += len(ids) > 0
+            for found in batch.column("found").to_pylist():
+                total += np.frombuffer(zlib.decompress(found), "<u4")
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), -1]), pa.array([*total[used].tolist(), rows])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    found = dict(remainders.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect())
-    docs = found.pop(-1, 0)
+    counts = encoded.filter("row < 0").select("found").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect()
+    docs, average = encoded.filter("row >= 0").agg(F.count("*"), F.avg("tokens")).first()
     df = np.zeros(1 << 16)
-    df[list(found)] = list(found.values())
-    return np.where(4 * df > docs, 0, np.log((docs - df + 0.5) / (df + 0.5))).astype(np.float32)
+    for token, n in counts:
+        df[token] = n
+    return np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32), average or 1.0
 
 
 def pack(transcripts: DataFrame, window: int = 2048, capacity: int = 1 << 20, vocabulary: str | None = None) -> DataFrame:
@@ -182,7 +202,7 @@ def pack(transcripts: DataFrame, window: int = 2048, capacity: int = 1 << 20, vo
 
     Full windows of a transcript are windows of their own. The remainders are sorted by their smallest token-pair hash, so that
     texts with much in common are in one shard; a shard holds about ``capacity`` tokens. Each has an inverted BM25 index with the
-    idf of the whole corpus, which returns the unused neighbours of the longest unused remainder; these fill its window by
+    idf and average length of the whole token sequences of all transcripts, which returns the unused neighbours of the longest unused remainder; these fill its window by
     score and the last is cut to fit, so only the last window of a shard is short. A shard is bounded and the sort key ends in the row's
     number, so copies and hot sources are spread like anything else.
 
@@ -191,14 +211,14 @@ def pack(transcripts: DataFrame, window: int = 2048, capacity: int = 1 << 20, vo
     spark = transcripts.sparkSession
     path = vocabulary or vocabulary_file()
     rows = transcripts.select(F.col("video_id").cast("bigint").alias("video_id"), "transcript", F.monotonically_increasing_id().alias("row"))
-    encoded = cut_lineage(rows.mapInArrow(_encoded(path, window), "video_id bigint, row bigint, tokens bigint, crcs array<bigint>, ids binary, near bigint"))
+    encoded = cut_lineage(rows.mapInArrow(_encoded(path, window), "video_id bigint, row bigint, tokens bigint, crcs array<bigint>, ids binary, near bigint, found binary"))
     remainders = encoded.filter(F.octet_length("ids") > 0)
-    idf = spark.sparkContext.broadcast(corpus_idf(remainders))
+    statistics = spark.sparkContext.broadcast(corpus_statistics(encoded))
     total = remainders.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = -(-total // (8 * capacity)) or 1  # two shards a task, four bytes a token
     sharded = remainders.select("video_id", "row", "tokens", "ids", "near").repartitionByRange(parts, F.col("near"), F.col("row")).sortWithinPartitions(
         "near", "row").withColumn("part", F.spark_partition_id().cast("bigint"))
-    pieces = cut_lineage(sharded.mapInArrow(_packed(idf, window, capacity),
+    pieces = cut_lineage(sharded.mapInArrow(_packed(statistics, window, capacity),
                          "video_id bigint, row bigint, start bigint, length bigint, ids_crc32 bigint, tokens bigint, part bigint, window bigint, offset bigint"))
     fulls = encoded.filter(F.size("crcs") > 0).select("video_id", "row", "tokens", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "video_id", "row", (F.col("k") * window).cast("bigint").alias("start"), F.lit(window).cast("bigint").alias("length"), "ids_crc32", "tokens",

@@ -124,6 +124,23 @@ def test_windows_hold_neighbours():
     assert np.allclose(scores, bm25, rtol=1e-5)
 
 
+def test_statistics_cover_whole_transcripts_and_common_tokens(spark):
+    texts = ["tail " * 5 + "common words of a source"] * 3 + ["rare opening " + "x y z " * 40, "something else", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "video_id bigint, transcript string").repartition(3)
+    rows = df.select("video_id", "transcript", F.monotonically_increasing_id().alias("row"))
+    encoded = rows.mapInArrow(packing._encoded(packing.vocabulary_file(), 16),
+                              "video_id bigint, row bigint, tokens bigint, crcs array<bigint>, ids binary, near bigint, found binary")
+    idf, average = packing.corpus_statistics(encoded)
+    ids = [reference_ids(t) for t in texts]
+    n = np.zeros(1 << 16)
+    for own in ids:
+        n[np.unique(own)] += 1
+    assert np.allclose(idf, np.log(1 + (6 - n + 0.5) / (n + 0.5)), rtol=1e-5) and (idf > 0).all()
+    assert average == pytest.approx(np.mean([len(x) for x in ids])) and n[ids[3][0]] == 1  # stands in a full window alone
+    shard = packing.Shard(ids, idf, average)
+    assert shard.scores(ids[0])[1] > shard.scores(ids[0])[4] and len(shard.matrix)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------------------------
 
 def test_shards(spark, awkward, empty):
