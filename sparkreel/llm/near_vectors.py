@@ -130,7 +130,7 @@ def _compare(rows: pa.Table, table: int, tables: int, probes: int, cosine: float
 
 def _compared(tables: int, probes: int, cosine: float):
     """Rows come sorted by pair of blocks; one such pair is held at a time."""
-    keys = ["label", "table", "code", "i", "j"]
+    keys = ["label", "width", "table", "code", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -170,7 +170,7 @@ def near_vectors(clips: DataFrame, cosine: float = 0.98, tables: int = 5, polyto
     ``(clip_id, n_links bigint, component_id, kept boolean)``, one row per row: how many other vectors are linked directly, the
     smallest clip_id reachable by links, and whether it is the row's own.
 
-    Equal vectors of a label are one class. ``tables`` times, a vector's bucket is its nearest vertex of the cross-polytope in
+    Equal vectors of a label are one class. ``tables`` times, a vector's bucket, among those of its label and length, is its nearest vertex of the cross-polytope in
     ``polytopes`` pseudo-random rotations (sign flips and Hadamard transforms); it also looks into the ``probes`` next buckets.
     Buckets are cut into blocks, each block of lookers meets each block of owners in one matrix product, and a pair counts in the first
     table where it meets. What leaves a pair of blocks are link counts and a spanning forest, so a bucket of any size is spread over
@@ -191,9 +191,10 @@ def near_vectors(clips: DataFrame, cosine: float = 0.98, tables: int = 5, polyto
     codes = cut_lineage(classes.select("node", "vector").mapInArrow(_coded(tables, polytopes, probes, seed), "node bigint, codes array<bigint>"))
 
     label = F.xxhash64("label").alias("label")
-    looks = classes.select("node", label).join(codes, "node").select("node", "label", F.posexplode("codes").alias("at", "code")).select(
-        "node", "label", F.floor(F.col("at") / (1 + probes)).cast("int").alias("table"), "code", (F.col("at") % (1 + probes) == 0).alias("owns"))
-    bucket = ["label", "table", "code"]
+    width = F.size("vector").alias("width")
+    looks = classes.select("node", label, width).join(codes, "node").select("node", "label", "width", F.posexplode("codes").alias("at", "code")).select(
+        "node", "label", "width", F.floor(F.col("at") / (1 + probes)).cast("int").alias("table"), "code", (F.col("at") % (1 + probes) == 0).alias("owns"))
+    bucket = ["label", "width", "table", "code"]
     sizes = looks.groupBy(*bucket).agg(F.count("*").alias("lookers"), F.count_if("owns").alias("owners")).filter("owners > 0 AND lookers > 1")
     placed = looks.join(sizes, bucket)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")

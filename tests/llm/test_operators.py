@@ -352,6 +352,15 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(near_vectors.factor_vectors(scored)).count() == 1
 
 
+def test_lengths_of_one_padded_size_stay_apart(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=20)
+    short = [(base + 0.01 * rng.normal(size=20)).tolist() for _ in range(6)]
+    rows = [(k, v, "a") for k, v in enumerate(short)] + [(10 + k, v + [0.0] * 4, "a") for k, v in enumerate(short)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "clip_id bigint, vector array<double>, label string")).collect()
+    assert {r.clip_id: (r.n_links, r.component_id) for r in got} == {k: (5, 10 * (k >= 10)) for k, _, _ in rows}
+
+
 def test_recall_of_the_tables():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 64))
