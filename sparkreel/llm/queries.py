@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import attribution, decontamination, fixity, near_duplicates, near_vectors, packing, personal_data, sharding, toxicity, url_rules
+from sparkreel.llm import (attribution, decontamination, fixity, manifest, near_duplicates, near_vectors, packing, personal_data, sharding, toxicity,
+                           url_rules)
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +160,56 @@ def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(transcripts(read(spark, sf_dir, "documents")), rule="first").withColumnRenamed("video_id", "doc_id")
+
+
+def _counted(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column} END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_counted(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: crc32 (polynomial 0xEDB88320) of a short string of digits, bit by bit.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+
+
+@query(f"""
+WITH RECURSIVE docs AS (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
+        CASE WHEN xor({_CRC}, 4294967295) % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS claimed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM docs),
+up AS (SELECT lang, 0 AS h, i, leaf AS d, n FROM leaves
+    UNION ALL SELECT lang, h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, h, i // 2, n),
+subs AS (SELECT lang, d AS subroot, h AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS h, i, subroot AS d, n FROM subs
+    UNION ALL SELECT h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY h, i // 2, n),
+low AS (SELECT l.lang, l.i, u.h, CASE WHEN u.i % 2 = 0 THEN u.d ELSE '' END AS a, CASE WHEN u.i % 2 = 1 THEN u.d ELSE '' END AS z
+    FROM leaves l JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.i = xor(l.i >> u.h, 1)),
+high AS (SELECT s.lang, t.h, CASE WHEN t.i % 2 = 0 THEN t.d ELSE '' END AS a, CASE WHEN t.i % 2 = 1 THEN t.d ELSE '' END AS z
+    FROM subs s JOIN top t ON t.i = xor(s.i >> t.h, 1)),
+steps AS (SELECT lang, i, list(h ORDER BY h) AS hs, list(a ORDER BY h) AS az, list(z ORDER BY h) AS zz FROM low GROUP BY lang, i),
+tops AS (SELECT lang, list(h ORDER BY h) AS hs, list(a ORDER BY h) AS az, list(z ORDER BY h) AS zz FROM high GROUP BY lang),
+tall AS (SELECT max(h) AS height, max(d) FILTER (n = 1) AS root FROM top),
+ways AS (SELECT l.doc_id, l.leaf, l.claimed, s.subroot, root,
+        [coalesce(st.az[list_position(st.hs, h)], '') for h in range(s.height)] || [coalesce(tp.az[list_position(tp.hs, h)], '') for h in range(tall.height)] AS az,
+        [coalesce(st.zz[list_position(st.hs, h)], '') for h in range(s.height)] || [coalesce(tp.zz[list_position(tp.hs, h)], '') for h in range(tall.height)] AS zz
+    FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN tall
+    LEFT JOIN steps st ON st.lang IS NOT DISTINCT FROM l.lang AND st.i = l.i LEFT JOIN tops tp ON tp.lang IS NOT DISTINCT FROM l.lang),
+folds AS (SELECT doc_id, leaf, subroot, root, az, zz, claimed AS way, 0 AS h FROM ways
+    UNION ALL SELECT doc_id, leaf, subroot, root, az, zz, sha256(az[h + 1] || way || zz[h + 1]), h + 1 FROM folds WHERE h < len(az))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(range(len(az)), lambda h: az[h + 1] || zz[h + 1]), '')) AS proof_sha256,
+    way AS folded_root, way = root AS verified FROM folds WHERE h = len(az)
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the records of which one in seven was altered, held against the manifest of the unaltered ones."""
+    docs = read(spark, sf_dir, "documents")
+    leaf = lambda n: manifest.record_digest(*[F.col(c) for c in ("doc_id", "source", "lang")], n, F.col("text"))
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select(F.col("doc_id").alias("video_id"), F.col("lang").alias("language"), leaf(F.col("n_chars")).alias("leaf"),
+                         leaf(F.when(altered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))).alias("claimed"))
+    built = manifest.build_manifest(leaves)
+    return manifest.prove(built, built.placed).select(
+        F.col("video_id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        manifest.folded_root(F.col("claimed"), F.col("proof")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
