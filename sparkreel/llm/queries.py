@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkreel.llm import (attribution, decontamination, fixity, manifest, near_duplicates, near_vectors, packing, personal_data, sharding, toxicity,
-                           url_rules)
+from sparkreel.llm import (attribution, decontamination, fixity, manifest, near_duplicates, near_vectors, packing, personal_data, ranked_search,
+                           sharding, toxicity, url_rules)
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +162,26 @@ def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(transcripts(read(spark, sf_dir, "documents")), rule="first").withColumnRenamed("video_id", "doc_id")
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH words AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {_TERMS} AS t FROM documents)),
+counts AS (SELECT doc_id, term, n, count(*) AS tf FROM words GROUP BY ALL),
+facts AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS tokens FROM words),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts CROSS JOIN facts GROUP BY term, docs),
+named AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // tokens))))::BIGINT AS score
+    FROM named JOIN counts USING (term) JOIN weights USING (term) CROSS JOIN facts GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+    FROM scored WHERE score > 0) WHERE rank <= 20
+""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("clip_id"), "text")
+    return ranked_search.rank_transcripts(transcripts(read(spark, sf_dir, "documents")), asked, limit=20).withColumnsRenamed(
+        {"clip_id": "item_id", "video_id": "doc_id"})
+
+
 def _counted(column: str) -> str:
     return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column} END"
 
