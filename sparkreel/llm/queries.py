@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkreel.llm import (attribution, decontamination, fixity, manifest, near_duplicates, near_vectors, packing, personal_data, ranked_search,
-                           sharding, toxicity, url_rules)
+                           repeated_text, sharding, toxicity, url_rules)
 from sparkreel.llm.records import read, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +233,20 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove(built, built.placed).select(
         F.col("video_id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
         manifest.folded_root(F.col("claimed"), F.col("proof")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM texts)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM windows) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late CROSS JOIN range(50) r(k)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (p IS NULL OR p < i - 1) AS n_spans
+    FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM texts)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY i) AS h FROM bytes ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, len(t.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(k.h, ''))) AS kept_sha256 FROM texts t LEFT JOIN runs USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""")
+def op11_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text.repeated_text(transcripts(read(spark, sf_dir, "documents")), length=50).select(
+        F.col("video_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
