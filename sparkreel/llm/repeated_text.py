@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkreel.llm import suffixes
 from sparkreel.llm.manifest import numbered
-from sparkreel.llm.shingles import BYTE_VALUES, FACTOR, INVERSE, _powers, mixed, text_buffer, text_slices
+from sparkreel.llm.shingles import FACTOR, mixed, text_buffer, text_slices
 from sparkreel.session import cut_lineage, shared_dir
 
 #: Bytes of an anchor: of the strings of this length inside a window, the one of the least hash marks it.
@@ -19,12 +19,12 @@ ANCHOR = 16
 #: Windows a strip holds at most, one bit each.
 STRIP = 64
 #: Bytes of text that give the anchors, and the strips, of one part.
-ANCHOR_PART, STRIP_PART = 32 << 20, 12 << 20
+ANCHOR_PART, STRIP_PART = 32 << 20, 4 << 20
 #: Window starts handled at once.
 PIECE = 1 << 21
 #: Bytes of strips gathered before they are sent.
 GATHERED = 6 << 20
-SHIFT = np.uint64(16)
+SHIFT, OTHER = np.uint64(16), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _compressed(data: bytes) -> bytes:
@@ -40,8 +40,8 @@ def _anchors(raw: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
     width = length - ANCHOR + 1
     for at in range(0, max(len(raw) - length + 1, 0), PIECE):
         piece = raw[at:at + PIECE + length - 1]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[piece] * _powers(FACTOR, len(piece)), dtype=np.uint64)])
-        low = mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * _powers(INVERSE, len(piece) - ANCHOR + 1)) >> SHIFT
+        words = np.ndarray(len(piece) - 7, "<u8", np.ascontiguousarray(piece), strides=(1,))
+        low = mixed(words[:-8] * FACTOR ^ words[8:] * OTHER) >> SHIFT
         step = 1
         while 2 * step <= width:
             low = np.minimum(low[:-step], low[step:])
@@ -175,19 +175,28 @@ def _strips(length: int, parts: int):
     """Strips of windows with a shared anchor, dealt by anchor: equal windows meet in one part, whatever stands around them."""
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         part, number, lead, start, count = (np.concatenate([x[k] for x in held]) for k in range(5))
-        raw = np.concatenate([x[5] for x in held])
+        raw = b"".join([x[5] for x in held])
         size = count + length - 1
-        at = np.cumsum(size) - size
-        order = np.argsort(part, kind="stable")
-        cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
-        names, blobs = [], []
-        for a, b in zip(cuts, cuts[1:]):
-            own = order[a:b]
-            pick = np.repeat(at[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
-            names.append(int(part[own[0]]))
-            blobs.append(_compressed(b"".join([len(own).to_bytes(8, "little"), number[own].astype("<i8").tobytes(), lead[own].astype("<i8").tobytes(),
-                                               start[own].astype("<u4").tobytes(), count[own].astype("<u1").tobytes(), raw[pick].tobytes()])))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "strips"])
+        stops = np.cumsum(size)
+        strips: dict[bytes, int] = {}
+        which = np.array([strips.setdefault(raw[b - n:b], len(strips)) for b, n in zip(stops.tolist(), size.tolist())], np.int64)
+        first = np.full(len(strips), np.iinfo(np.int64).max)
+        np.minimum.at(first, which, lead)
+        # A text that holds a strip of an earlier one loses all its windows; the earliest is judged among all parts.
+        judged = lead == first[which]
+        raw, names, blobs = np.frombuffer(raw, np.uint8), [], []
+        for kind, rows in ((True, np.flatnonzero(judged)), (False, np.flatnonzero(~judged))):
+            rows = rows[np.argsort(part[rows], kind="stable")]
+            cuts = [0, *(np.flatnonzero(np.diff(part[rows])) + 1).tolist(), len(rows)] if len(rows) else []
+            for a, b in zip(cuts, cuts[1:]):
+                own = rows[a:b]
+                data = [number[own].astype("<i8"), lead[own].astype("<i8"), start[own].astype("<u4"), count[own].astype("<u1")]
+                if kind:
+                    data.append(raw[np.repeat(stops[own] - np.cumsum(size[own]), size[own]) + np.arange(size[own].sum())])
+                names.append(int(part[own[0]] if kind else number[own[0]] % parts))
+                blobs.append((kind, _compressed(b"".join([len(own).to_bytes(8, "little"), *[d.tobytes() for d in data]]))))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([k for k, _ in blobs]), pa.array([d for _, d in blobs], pa.binary())],
+                                         ["part", "judged", "strips"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -207,7 +216,7 @@ def _strips(length: int, parts: int):
                     size = count + length - 1
                     pick = np.repeat(at + first - np.cumsum(size) + size, size) + np.arange(size.sum())
                     n = len(first)
-                    held.append((_part(low[first], parts), np.full(n, row["number"]), np.full(n, row["lead"]), at + first, count, raw[pick]))
+                    held.append((_part(low[first], parts), np.full(n, row["number"]), np.full(n, row["lead"]), at + first, count, raw[pick].tobytes()))
                     total += len(pick)
                     if total >= GATHERED:
                         yield from flush(held)
@@ -220,6 +229,13 @@ def _strips(length: int, parts: int):
 def _repeats(length: int, folder: str, budget: int):
     """Per part: the distinct strips' suffixes in order, the first transcript of each group of equal windows, and for each text the
     windows that an earlier transcript holds."""
+    def sent(number: np.ndarray, start: np.ndarray, masks: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(number, kind="stable")
+        own, cuts = np.unique(number[order], return_index=True)
+        sizes = pa.array(np.append(cuts, len(order)), pa.int32())
+        lists = [pa.ListArray.from_arrays(sizes, pa.array(x[order].astype(np.int64))) for x in (start, masks.view(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(own), *lists], ["number", "starts", "masks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "part"):
             strips: dict[bytes, int] = {}
@@ -229,19 +245,22 @@ def _repeats(length: int, folder: str, budget: int):
                 n = int.from_bytes(data[:8], "little")
                 number, lead = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
                 start, count = np.frombuffer(data, "<u4", n, 8 + 16 * n), np.frombuffer(data, "<u1", n, 8 + 20 * n).astype(np.int64)
+                if not row["judged"]:
+                    yield sent(number, start, ~np.uint64(0) >> (STRIP - count).astype(np.uint64))
+                    continue
                 cuts = (np.concatenate([[0], np.cumsum(count + length - 1)]) + 8 + 21 * n).tolist()
                 which = np.array([strips.setdefault(data[a:b], len(strips)) for a, b in zip(cuts, cuts[1:])], np.int64)
                 members.append((number, lead, start, which))
+            if not members:
+                continue
             names = list(strips)
             count = np.array([len(s) - length + 1 for s in names], np.int64)
             lead = np.full(len(names), np.iinfo(np.int64).max)
             for _, own, _, which in members:
                 np.minimum.at(lead, which, own)
             string, at, group = suffixes.equal_windows(names, length, folder, budget)
-            least = np.empty(len(group), np.int64)
-            if len(group):
-                begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                least = np.repeat(np.minimum.reduceat(lead[string], begins), np.diff(np.append(begins, len(group))))
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            least = np.repeat(np.minimum.reduceat(lead[string], begins), np.diff(np.append(begins, len(group))))
             before = np.cumsum(count) - count
             first = np.empty(int(count.sum()), np.int64)
             first[before[string] + at] = least
@@ -252,14 +271,8 @@ def _repeats(length: int, folder: str, budget: int):
                 late = first[np.repeat(before[which], n) + bit] < np.repeat(own, n)
                 masks = np.bitwise_or.reduceat(late.astype(np.uint64) << bit.astype(np.uint64), ends - n)
                 some = masks != 0
-                number, start, masks = number[some], start[some].astype(np.int64), masks[some]
-                if len(number):
-                    order = np.argsort(number, kind="stable")
-                    own_, cuts = np.unique(number[order], return_index=True)
-                    sizes = pa.array(np.append(cuts, len(order)), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own_), pa.ListArray.from_arrays(sizes, pa.array(start[order])), pa.ListArray.from_arrays(sizes, pa.array(masks[order].view(np.int64)))],
-                        ["number", "starts", "masks"])
+                if some.any():
+                    yield sent(number[some], start[some], masks[some])
     return run
 
 
@@ -336,7 +349,7 @@ def repeated_text(transcripts: DataFrame, length: int = 50, budget: int = suffix
     shared = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_judged, "key binary, anchors binary")
     shared = cut_lineage(shared.groupBy("key").agg(F.collect_list("anchors").alias("anchors")))
     distinct = texts.mapInArrow(_packed, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
-    strips = distinct.join(shared, "key").join(spread.select("key", "number", "lead"), "key").mapInArrow(_strips(length, parts(STRIP_PART)), "part int, strips binary")
+    strips = distinct.join(shared, "key").join(spread.select("key", "number", "lead"), "key").mapInArrow(_strips(length, parts(STRIP_PART)), "part int, judged boolean, strips binary")
     marks = strips.repartition("part").sortWithinPartitions("part").mapInArrow(
         _repeats(length, folder, budget), "number bigint, starts array<bigint>, masks array<bigint>")
     marks = cut_lineage(marks.groupBy("number").agg(F.collect_list(F.struct("starts", "masks")).alias("marks")))
