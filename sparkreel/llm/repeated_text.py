@@ -23,8 +23,8 @@ ANCHOR_PART, STRIP_PART = 32 << 20, 4 << 20
 #: Window starts handled at once.
 PIECE = 1 << 21
 #: Bytes of strips gathered before they are sent.
-GATHERED = 6 << 20
-SHIFT, OTHER = np.uint64(16), np.uint64(0xC2B2AE3D27D4EB4F)
+GATHERED = 16 << 20
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _compressed(data: bytes) -> bytes:
@@ -35,19 +35,19 @@ def _plain(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
-def _anchors(raw: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Piece by piece, the first window start and 48-bit hashes of the anchors of the windows from there on."""
-    width = length - ANCHOR + 1
+def _anchors(raw: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Piece by piece, the first window start and hashes of ``width`` bytes of the anchors of the windows from there on."""
+    span = length - ANCHOR + 1
     for at in range(0, max(len(raw) - length + 1, 0), PIECE):
         piece = raw[at:at + PIECE + length - 1]
         words = np.ndarray(len(piece) - 7, "<u8", np.ascontiguousarray(piece), strides=(1,))
-        low = mixed(words[:-8] * FACTOR ^ words[8:] * OTHER) >> SHIFT
+        low = mixed(words[:-8] * FACTOR ^ words[8:] * OTHER) >> np.uint64(64 - 8 * width)
         step = 1
-        while 2 * step <= width:
+        while 2 * step <= span:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
-        if step < width:
-            low = np.minimum(low[:step - width], low[width - step:])
+        if step < span:
+            low = np.minimum(low[:step - span], low[span - step:])
         yield at, low
 
 
@@ -55,14 +55,14 @@ def _part(anchors: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(anchors) % np.uint64(parts)).astype(np.int32)
 
 
-def _six(values: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """Numbers in ``width`` bytes each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _of_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8").copy()
 
 
@@ -70,7 +70,7 @@ FOUND = "part int, kind int, keys binary, sizes binary, anchors binary"
 ALONE, KNOWN, WITNESS = 0, 1, 2
 
 
-def _listed(length: int, parts: int):
+def _listed(length: int, parts: int, width: int):
     """Anchors of slices of texts, dealt by anchor: those of one text of the slice (ALONE), and a WITNESS of each that several texts
     share, which is KNOWN to be shared and travels by text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _listed(length: int, parts: int):
             for i, key in enumerate(keys):
                 if key not in seen and offsets[i + 1] - offsets[i] >= length:
                     seen.add(key)
-                    own = [low[np.concatenate([[True], low[1:] != low[:-1]])] for _, low in _anchors(raw[offsets[i]:offsets[i + 1]], length)]
+                    own = [low[np.concatenate([[True], low[1:] != low[:-1]])] for _, low in _anchors(raw[offsets[i]:offsets[i + 1]], length, width)]
                     texts.append(key)
                     anchors.append(np.unique(np.concatenate(own)))
             if not texts:
@@ -99,7 +99,7 @@ def _listed(length: int, parts: int):
                 cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else []
                 for a, b in zip(cuts, cuts[1:]):
                     own, sizes = np.unique(text[a:b], return_counts=True)
-                    yield int(part[a]), kind, names[own].tobytes(), sizes.astype("<u4").tobytes(), _six(anchor[a:b])
+                    yield int(part[a]), kind, names[own].tobytes(), sizes.astype("<u4").tobytes(), _narrow(anchor[a:b], width)
 
             out = [*rows(ALONE, _part(every[alone], parts), text[alone], every[alone])]
             spread = _part(np.arange(len(texts), dtype=np.uint64) + np.uint64(int.from_bytes(texts[0][:6], "little")), parts)
@@ -124,43 +124,45 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
         yield held
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(width: int):
     """Of each part the anchors that stand in several texts, by text."""
     def sent(names: np.ndarray, text: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(text, kind="stable")
         text, anchor = text[order], anchor[order]
         own, first = np.unique(text, return_index=True)
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[own]], pa.binary()),
-                                           pa.array([_six(a) for a in np.split(anchor, first[1:])], pa.binary())], ["key", "anchors"])
-
-    for rows in _runs(batches, "part"):
-        names, texts, anchors, flags, before = [], [], [], [], 0
-        for row in rows:
-            anchor = _of_six(row["anchors"])
-            own = np.frombuffer(row["keys"], "V16")
-            text = np.repeat(np.arange(len(own)), np.frombuffer(row["sizes"], "<u4"))
-            if row["kind"] == KNOWN:
-                yield sent(own, text, anchor)
+                                           pa.array([_narrow(a, width) for a in np.split(anchor, first[1:])], pa.binary())], ["key", "anchors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "part"):
+            names, texts, anchors, flags, before = [], [], [], [], 0
+            for row in rows:
+                anchor = _wide(row["anchors"], width)
+                own = np.frombuffer(row["keys"], "V16")
+                text = np.repeat(np.arange(len(own)), np.frombuffer(row["sizes"], "<u4"))
+                if row["kind"] == KNOWN:
+                    yield sent(own, text, anchor)
+                    continue
+                names.append(own)
+                texts.append(text + before if len(own) else np.full(len(anchor), -1))
+                anchors.append(anchor)
+                before += len(own)
+            if not anchors:
                 continue
-            names.append(own)
-            texts.append(text + before if len(own) else np.full(len(anchor), -1))
-            anchors.append(anchor)
-            before += len(own)
-        if not anchors:
-            continue
-        name, index = np.unique(np.concatenate(names), return_inverse=True)
-        text, anchor = np.concatenate(texts), np.concatenate(anchors)
-        text = np.where(text >= 0, index[text], -1) if len(index) else text
-        order = np.lexsort((text, anchor))
-        text, anchor = text[order], anchor[order]
-        first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        fresh = first | np.concatenate([[True], text[1:] != text[:-1]])
-        text, anchor, first = text[fresh], anchor[fresh], first[fresh]
-        starts = np.flatnonzero(first)
-        size = np.diff(np.append(starts, len(first)))
-        shared = np.repeat((size > 1) | (text[starts] < 0), size) & (text >= 0)
-        if shared.any():
-            yield sent(name, text[shared], anchor[shared])
+            name, index = np.unique(np.concatenate(names), return_inverse=True)
+            text, anchor = np.concatenate(texts), np.concatenate(anchors)
+            text = np.where(text >= 0, index[text], -1) if len(index) else text
+            order = np.lexsort((text, anchor))
+            text, anchor = text[order], anchor[order]
+            first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+            fresh = first | np.concatenate([[True], text[1:] != text[:-1]])
+            text, anchor, first = text[fresh], anchor[fresh], first[fresh]
+            starts = np.flatnonzero(first)
+            size = np.diff(np.append(starts, len(first)))
+            shared = np.repeat((size > 1) | (text[starts] < 0), size) & (text >= 0)
+            if shared.any():
+                yield sent(name, text[shared], anchor[shared])
+    return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["key", "packed"])
 
 
-def _strips(length: int, parts: int):
+def _strips(length: int, parts: int, width: int):
     """Strips of windows with a shared anchor, dealt by anchor: equal windows meet in one part, whatever stands around them."""
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         part, number, lead, start, count = (np.concatenate([x[k] for x in held]) for k in range(5))
@@ -203,8 +205,8 @@ def _strips(length: int, parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 raw = np.frombuffer(_plain(row["packed"]), np.uint8)
-                shared = np.unique(np.concatenate([_of_six(a) for a in row["anchors"]]))
-                for at, low in _anchors(raw, length):
+                shared = np.unique(np.concatenate([_wide(a, width) for a in row["anchors"]]))
+                for at, low in _anchors(raw, length, width):
                     hit = shared[np.minimum(np.searchsorted(shared, low), len(shared) - 1)] == low
                     new = np.concatenate([[True], low[1:] != low[:-1]])
                     place = np.arange(len(low))
@@ -281,12 +283,12 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            marks = batch.column("marks")
+            for i, row in enumerate(batch.select(["key", "packed"]).to_pylist()):
                 raw = _plain(row["packed"])
-                start = np.array([x for part in row["marks"] for x in part["starts"]], np.int64)
-                mask = np.array([x for part in row["marks"] for x in part["masks"]], np.int64).view(np.uint64)
-                bits = (mask[:, None] >> np.arange(STRIP, dtype=np.uint64)) & np.uint64(1)
-                which, bit = np.nonzero(bits)
+                start, mask = (marks[i].values.field(c).flatten().to_numpy() for c in ("starts", "masks"))
+                whole = np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                which, bit = np.nonzero(whole)
                 at = np.unique(start[which] + bit)
                 new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + length]))
                 first, stop = at[new], np.append(at[new[1:] - 1], at[-1]) + length
@@ -332,6 +334,8 @@ def repeated_text(transcripts: DataFrame, length: int = 50, budget: int = suffix
                                    F.sha2(F.col("transcript").cast("binary"), 256).alias("whole")))
     size = each.agg(F.sum("n_bytes")).first()[0] or 0
     parts = lambda of: int(-(-size // of)) + 1
+    # Different anchors look equal to about one in ten thousand, whatever the input; that costs a comparison and changes no result.
+    width = min(8, -(-(size.bit_length() + 10) // 8))
 
     classes = each.groupBy("key").agg(F.min(_place("video_id")).alias("first"), F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"))
     spread = numbered(classes.select("key", "first"), ["first", "key"])
@@ -345,11 +349,11 @@ def repeated_text(transcripts: DataFrame, length: int = 50, budget: int = suffix
     spread = cut_lineage(spread.join(leads, "first", "left").select("key", "first", "number", F.coalesce("lead", "number").alias("lead")))
 
     texts = rows.filter(F.octet_length("transcript") >= length).select("key", "transcript")
-    listed = texts.mapInArrow(_listed(length, parts(ANCHOR_PART)), FOUND)
-    shared = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_judged, "key binary, anchors binary")
+    listed = texts.mapInArrow(_listed(length, parts(ANCHOR_PART), width), FOUND)
+    shared = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_judged(width), "key binary, anchors binary")
     shared = cut_lineage(shared.groupBy("key").agg(F.collect_list("anchors").alias("anchors")))
     distinct = texts.mapInArrow(_packed, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
-    strips = distinct.join(shared, "key").join(spread.select("key", "number", "lead"), "key").mapInArrow(_strips(length, parts(STRIP_PART)), "part int, judged boolean, strips binary")
+    strips = distinct.join(shared, "key").join(spread.select("key", "number", "lead"), "key").mapInArrow(_strips(length, parts(STRIP_PART), width), "part int, judged boolean, strips binary")
     marks = strips.repartition("part").sortWithinPartitions("part").mapInArrow(
         _repeats(length, folder, budget), "number bigint, starts array<bigint>, masks array<bigint>")
     marks = cut_lineage(marks.groupBy("number").agg(F.collect_list(F.struct("starts", "masks")).alias("marks")))
