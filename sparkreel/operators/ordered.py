@@ -68,18 +68,37 @@ def spoken_durations(lines: DataFrame, block_lines: int = 4096) -> DataFrame:
     return out.withColumn("spoken", F.when(span < 0.5, F.col("duration")).otherwise(span)).drop("next")
 
 
+ENDED = ["completed", "failed"]
+
+
 def status_changes(events: DataFrame, key: str = "job_id", ts: str = "ts", tie: str = "event_id",
-                   watched: tuple[str, ...] = ("status", "progress")) -> DataFrame:
-    """Rows whose watched columns differ from the row before, up to the first terminal status."""
-    payload = [*watched]
-    seen = with_neighbours(events, [key], F.to_date(ts), [ts, tie], payload, following=None)
-    ended = events.where(F.col("status").isin("completed", "failed")).groupBy(key).agg(
-        F.min(F.struct(ts, tie)).alias("_end"))
-    changed = F.lit(False)
+                   watched: tuple[str, ...] = ("status", "progress"), ttl: int | None = None, carried: str | None = None) -> DataFrame:
+    """Rows whose watched columns differ from the row before, up to the first terminal status.
+
+    With ``ttl`` a job that was silent for more than so many seconds is forgotten: its next row starts a new life, is reported in any
+    case, and may end again. ``carried`` names a boolean column of rows that are not reported themselves: the last rows of what was
+    seen before, true if the life they belong to has ended, false if not, NULL for rows of this table. Rows are compared within minutes;
+    only one row per minute is ordered across a job.
+    """
+    minute, order = F.date_trunc("minute", F.col(ts)), [ts, tie]
+    seen = with_neighbours(events, [key], minute, order, [ts, *watched], following=None)
+    changed = F.col("prev").isNull()
     for c in watched:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"prev.{c}"))
-    return seen.join(ended, key, "left").where(
-        (F.col("prev").isNull() | changed) & (F.col("_end").isNull() | (F.struct(ts, tie) <= F.col("_end")))).drop("prev", "_end")
+    over = F.col("status").isin(*ENDED)
+    if carried:
+        over = F.when(F.col(carried).isNull(), over).otherwise(F.col(carried))
+    life = [key]
+    if ttl is not None:
+        instant = lambda c: F.unix_micros(c.cast("timestamp"))
+        fresh = F.col("prev").isNull() | (instant(F.col(ts)) - instant(F.col(f"prev.{ts}")) > ttl * 1_000_000)
+        seen = running_total(seen.withColumn("_fresh", F.coalesce(fresh, F.lit(False))), [key], [F.to_date(ts), minute], order, F.col("_fresh").cast("int"), "_life")
+        changed, life = changed | F.col("_fresh"), [key, "_life"]
+    ended = seen.where(over).groupBy(*life).agg(F.min(F.struct(*order)).alias("_end"))
+    shown = changed & (F.col("_end").isNull() | (F.struct(*order) <= F.col("_end")))
+    if carried:
+        shown = shown & F.col(carried).isNull()
+    return seen.join(ended, life, "left").where(shown).drop("prev", "_end", "_fresh", "_life")
 
 
 def growth_curve(snapshots: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sparkreel import lexicon as lx
+from sparkreel.session import cut_lineage
 
 METRIC_COLUMNS = ["platform", "views", "likes", "comments", "shares", "watch_time", "retention", "upload_date"]
 ACTION_COLUMNS = ["selected", "rejected", "published"]
@@ -109,6 +115,61 @@ def dedup_submissions(jobs: DataFrame) -> DataFrame:
         F.min_by(F.struct(*rest), F.struct("ts", "seq")).alias("j")).select("video_id", "j.*")
 
 
+def _holding(finished_ttl: int, running_ttl: int, schema: pa.Schema):
+    """The machine of ``hold_submissions`` over rows sorted by video and time; only the current video's state is held."""
+    names = ["video_id", "job_id", "ts", "seq", "status"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, holder, created, state = object(), None, None, None
+        last: tuple | None = None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in [*names, "carried"])):
+                name, job, ts, seq, status, carried = row
+                if name != video:
+                    if last:
+                        out.append((*last, True))
+                    video, holder, last = name, None, None
+                if holder is not None:
+                    age, limit = (ts - created).total_seconds(), finished_ttl if state in ("completed", "failed") else running_ttl
+                    if age > limit:
+                        holder = None
+                if carried or (status == "queued" and (holder is None or (state == "failed" and job != holder))):
+                    holder, created, state = job, ts, status
+                    if not carried:
+                        out.append((name, job, ts, seq, status, False))
+                elif job == holder:
+                    state = status
+                if holder is not None:
+                    last = (name, holder, created, 0, state)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*last, True), schema)], schema=schema)
+    return run
+
+
+def hold_submissions(events: DataFrame, held: DataFrame | None = None, finished_ttl: int = 3600, running_ttl: int = 10800) -> tuple[DataFrame, DataFrame]:
+    """(submissions that start a job, who holds each video at the end), one active job per video.
+
+    ``events(video_id, job_id, ts, seq, status)`` are submissions (``queued``) and later statuses of jobs. A submission starts a job if its
+    video is free; otherwise it stands for the job that holds the video. A job holds its video from its submission on; it lets it go when
+    it fails, when it is finished and older than ``finished_ttl`` seconds, or older than ``running_ttl`` in any case. ``held(video_id,
+    holder, created, state)`` are the holders from before, as returned. Statuses of other jobs than the holder change nothing; rows
+    without a video are left out. A video's rows are one sequence and run through one task, in constant memory.
+    """
+    rows = events.where("video_id IS NOT NULL").select("video_id", "job_id", "ts", "seq", "status", F.lit(False).alias("carried"))
+    if held is not None:
+        known = held.select("video_id", F.col("holder").alias("job_id"), F.col("created").alias("ts"), F.lit(None).cast("bigint").alias("seq"),
+                            F.col("state").alias("status"), F.lit(True).alias("carried"))
+        rows = rows.unionByName(known.join(rows.select("video_id").distinct(), "video_id", "left_semi"))
+    kinds = StructType([*rows.select("video_id", "job_id", "ts", "seq", "status").schema, StructField("holds", BooleanType())])
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", F.desc("carried"), "ts", "seq")
+    found = cut_lineage(ordered.mapInArrow(_holding(finished_ttl, running_ttl, to_arrow_schema(kinds)), kinds))
+    return (found.where("NOT holds").drop("holds"),
+            found.where("holds").select("video_id", F.col("job_id").alias("holder"), F.col("ts").alias("created"), F.col("status").alias("state")))
+
+
 def carry_forward(fetched: DataFrame, previous: DataFrame, columns: list[str]) -> DataFrame:
     """Fetched metrics, or the previous ones where the fetch failed (``ok`` is false)."""
     old = previous.select("clip_id", *[F.col(c).alias(f"_{c}") for c in columns])

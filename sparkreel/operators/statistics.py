@@ -43,8 +43,10 @@ def recommend_weights(correlations: DataFrame, weights: dict[str, float] = lx.WE
 def top_bottom_factors(recommended: DataFrame, n: int = 3) -> DataFrame:
     """The strongest and weakest ``n`` factors by composite correlation; ties keep factor order."""
     order = F.array_position(F.array(*[F.lit(f) for f in lx.FACTORS]), F.col("factor"))
-    best = Window.partitionBy().orderBy(F.desc("composite"), order)
-    worst = Window.partitionBy().orderBy(F.asc("composite"), order)
+    # Sums of distributed rows differ in their last bits from run to run, so factors that agree in nine digits are tied.
+    level = F.round("composite", 9)
+    best = Window.partitionBy().orderBy(level.desc(), order)
+    worst = Window.partitionBy().orderBy(level.asc(), order)
     ranked = recommended.select("factor", "composite", F.row_number().over(best).alias("top"),
                                 F.row_number().over(worst).alias("bottom"))
     ends = F.filter(F.array(F.struct(F.lit("top").alias("side"), F.col("top").alias("rank")),

@@ -86,10 +86,10 @@ def recommend_weights(spark, sf):
 
 @query("top_bottom_factors", with_views("""
     SELECT 'top' AS side, rank, factor, correlation FROM (
-        SELECT factor, round(composite, 4) AS correlation, row_number() OVER (ORDER BY composite DESC, ord)::INTEGER AS rank
+        SELECT factor, round(composite, 4) AS correlation, row_number() OVER (ORDER BY round(composite, 9) DESC, ord)::INTEGER AS rank
         FROM composites) WHERE rank <= 3
     UNION ALL SELECT 'bottom', rank, factor, correlation FROM (
-        SELECT factor, round(composite, 4) AS correlation, row_number() OVER (ORDER BY composite, ord)::INTEGER AS rank
+        SELECT factor, round(composite, 4) AS correlation, row_number() OVER (ORDER BY round(composite, 9), ord)::INTEGER AS rank
         FROM composites) WHERE rank <= 3""", "clips", correlations=CORR, weights=WEIGHTS, composites=COMPOSITE))
 def top_bottom_factors(spark, sf):
     return st.top_bottom_factors(st.recommend_weights(st.performance_correlations(inputs.clips(spark, sf))))

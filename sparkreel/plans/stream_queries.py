@@ -32,11 +32,47 @@ def sliding_window_counts(spark, sf):
       min(CASE WHEN status IN ('completed', 'failed') THEN event_id END) OVER (PARTITION BY job_id) AS stop FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
     WHERE (pe IS NULL OR status IS DISTINCT FROM ps OR progress IS DISTINCT FROM pp) AND (stop IS NULL OR event_id <= stop)""", "job_events"))
 def status_change_stream(spark, sf):
+    return feeds.status_change_stream(_job_rows(spark, sf), feeds.work_folder(spark, "status")).select("job_id", "event_id", "status", "progress")
+
+
+def _job_rows(spark, sf):
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "completed").when(kind == "error", "failed").when(kind == "signup", "queued").otherwise("running")
-    jobs = feeds.read_stream(spark, sf).select(F.concat(F.lit("j"), "user_id").alias("job_id"), "event_id", "ts", status.alias("status"),
+    return feeds.read_stream(spark, sf).select(F.concat(F.lit("j"), "user_id").alias("job_id"), "event_id", "ts", status.alias("status"),
                                                F.floor(F.col("value") / 25).cast("int").alias("progress"))
-    return feeds.status_change_stream(jobs, feeds.work_folder(spark, "status")).select("job_id", "event_id", "status", "progress")
+
+
+@query("status_lives_stream", with_views("""SELECT job_id, event_id, status, progress FROM (
+      SELECT *, lag(status) OVER w AS ps, lag(progress) OVER w AS pp, min(CASE WHEN status IN ('completed', 'failed') THEN event_id END) OVER (PARTITION BY job_id, life) AS stop
+      FROM (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS life FROM (
+        SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 10800000000 THEN 1 ELSE 0 END AS fresh
+        FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))) WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+    WHERE (fresh = 1 OR status IS DISTINCT FROM ps OR progress IS DISTINCT FROM pp) AND (stop IS NULL OR event_id <= stop)""", "job_events"))
+def status_lives_stream(spark, sf):
+    """As ``status_change_stream``, with jobs forgotten after three hours of silence."""
+    return feeds.status_change_stream(_job_rows(spark, sf), feeds.work_folder(spark, "lives"), ttl=10800).select("job_id", "event_id", "status", "progress")
+
+
+HELD_ROWS = """SELECT job_id AS video_id, job_id || '-' || (epoch_us(ts) // 21600000000) AS job, ts, event_id AS seq, status,
+        row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM job_events"""
+MACHINE = """SELECT video_id, 0::BIGINT AS n, NULL::VARCHAR AS holder, NULL::TIMESTAMP AS created, NULL::VARCHAR AS state, NULL::BIGINT AS started, NULL::VARCHAR AS job
+        FROM held_rows WHERE n = 1
+      UNION ALL
+      SELECT video_id, n, CASE WHEN takes THEN job ELSE held END, CASE WHEN takes THEN ts ELSE created END,
+        CASE WHEN takes OR job = held THEN status ELSE state END, CASE WHEN takes THEN seq END, job
+      FROM (SELECT *, status = 'queued' AND (held IS NULL OR (state = 'failed' AND job <> held)) AS takes FROM (
+        SELECT r.video_id, r.n, r.job, r.ts, r.seq, r.status, m.created, m.state, CASE WHEN epoch_us(r.ts) - epoch_us(m.created)
+            <= CASE WHEN m.state IN ('completed', 'failed') THEN 3600000000 ELSE 10800000000 END THEN m.holder END AS held
+        FROM machine m JOIN held_rows r ON r.video_id = m.video_id AND r.n = m.n + 1))"""
+
+
+@query("submission_stream", with_views("SELECT video_id, job AS job_id, started AS seq FROM machine WHERE started IS NOT NULL", "job_events",
+                                       held_rows=HELD_ROWS, machine=MACHINE))
+def submission_stream(spark, sf):
+    """A user's events as the jobs of one video: a job lasts six hours of them."""
+    rows = _job_rows(spark, sf).select(F.col("job_id").alias("video_id"), F.concat("job_id", F.lit("-"), F.floor(F.unix_micros("ts") / 21_600_000_000)).alias("job_id"),
+                                       "ts", F.col("event_id").alias("seq"), "status")
+    return feeds.submission_stream(rows, feeds.work_folder(spark, "submissions")).select("video_id", "job_id", "seq")
 
 
 @query("dedup_stream", "SELECT DISTINCT substr(md5('j' || user_id), 1, 11) AS video_id FROM events")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkreel import lexicon as lx
 from sparkreel.operators import ordered, statistics
+from sparkreel.operators.state import hold_submissions
 from sparkreel.session import new_folder
+from sparkreel.streaming.keyed_state import KeyedState
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -52,24 +54,37 @@ def newest_per_key(spark: SparkSession, work: str, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _batches(work: str, spark: SparkSession) -> int:
+    """How many batches were finished, from the query's own log of commits."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{work}/checkpoint/commits")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+    return 1 + max((int(n) for n in names if n.isdigit()), default=-1)
+
+
 def snapshot_stream(events: DataFrame, work: str) -> DataFrame:
     """Append every snapshot and keep the newest row per clip.
 
-    ``events`` has clip_id, ts, seq and metric columns. The current state is merged from the previous
-    batch's state, so a batch reads only that and itself.
+    ``events`` has clip_id, ts, seq and metric columns. A batch writes its snapshots and the newest rows of its own clips; the state of
+    the other clips is left where it is (``keyed_state``).
     """
     spark = events.sparkSession
+    current = KeyedState(spark, f"{work}/current", ["clip_id"], _ddl(events))
+    rest = [c for c in events.columns if c != "clip_id"]
 
     def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         _write(batch, work, "snapshots", number)
-        latest = batch if number == 0 else spark.read.parquet(f"{work}/current/batch={number - 1}").unionByName(batch)
-        rest = [c for c in batch.columns if c != "clip_id"]
-        _write(latest.groupBy("clip_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("r")).select("clip_id", "r.*"),
-               work, "current", number)
+        known = current.before(number).join(batch.select("clip_id").distinct(), "clip_id", "left_semi")
+        current.put(number, known.unionByName(batch).groupBy("clip_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("r")).select("clip_id", "r.*"))
+        batch.unpersist()
 
     run_batches(events, handle, work)
-    states = spark.read.parquet(f"{work}/current")
-    return states.where(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
+    return current.before(_batches(work, spark))
 
 
 def windowed_counts(events: DataFrame, work: str, length: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -82,32 +97,46 @@ def windowed_counts(events: DataFrame, work: str, length: str = "1 day", slide:
     return newest_per_key(events.sparkSession, work, ["window_start", "event_type"])
 
 
-def status_change_stream(events: DataFrame, work: str) -> DataFrame:
+def status_change_stream(events: DataFrame, work: str, ttl: int | None = None) -> DataFrame:
     """Changes of job status or progress across micro-batches, ended by the first terminal status.
 
-    The state is the last row of every open job, kept as a table per batch. Within a batch rows are
-    compared block by block, so a job with very many rows is still spread over tasks.
+    The state is the last row of every job and whether its life has ended. A batch reads the state of its own jobs and writes those only
+    (``keyed_state``). With ``ttl``, jobs silent for longer leave the state, as ``ordered.status_changes`` starts a new life after
+    such a gap in any case: the changes are those of one batch over all rows, as long as a job's rows come in the order of time.
     """
     spark = events.sparkSession
+    state = KeyedState(spark, f"{work}/state", ["job_id"], f"{_ddl(events)}, ended boolean")
+    kept = [c for c in events.columns if c != "job_id"]
 
     def handle(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("carried", F.lit(False))
-        if number > 0:
-            before = spark.read.parquet(f"{work}/state/batch={number - 1}")
-            ended = before.where("status IN ('completed', 'failed')").select("job_id")
-            rows = rows.join(ended, "job_id", "left_anti").unionByName(before.withColumn("carried", F.lit(True)))
-        changed = ordered.status_changes(rows)
-        _write(changed.where("NOT carried").drop("carried"), work, "changes", number)
-        # A job that has ended stays in the state, so that later rows of it are recognised.
-        kept = [c for c in batch.columns if c != "job_id"]
-        end = F.min_by(F.struct(*kept), F.when(F.col("status").isin("completed", "failed"), F.struct("ts", "event_id")))
-        last = F.max_by(F.struct(*kept), F.struct("ts", "event_id"))
-        _write(rows.groupBy("job_id").agg(F.coalesce(end, last).alias("r")).select("job_id", "r.*"), work, "state", number)
+        batch = batch.persist()
+        now = batch.agg(F.max("ts")).first()[0]
+        alive = None if ttl is None or now is None else F.col("ts") >= F.lit(now) - F.make_interval(secs=F.lit(ttl))
+        # Rows of a batch may be older than its newest one, so a job's silence is judged row by row, not here.
+        known = state.before(number).join(batch.select("job_id").distinct(), "job_id", "left_semi")
+        rows = batch.withColumn("ended", F.lit(None).cast("boolean")).unionByName(known)
+        _write(ordered.status_changes(rows, ttl=ttl, carried="ended").drop("ended"), work, "changes", number)
+        state.put(number, _last_rows(rows, kept, ttl), alive)
+        batch.unpersist()
 
     run_batches(events, handle, work)
     return spark.read.parquet(f"{work}/changes").drop("batch")
 
 
+def _last_rows(rows: DataFrame, kept: list[str], ttl: int | None) -> DataFrame:
+    """The last row of every job, and whether the life it belongs to has ended: a terminal status, or a carried end, since the last gap."""
+    order = F.struct("ts", "event_id")
+    over = F.coalesce("ended", F.col("status").isin(*ordered.ENDED))
+    if ttl is None:
+        return rows.groupBy("job_id").agg(F.max_by(F.struct(*kept), order).alias("r"), F.bool_or(over).alias("ended")).select("job_id", "r.*", "ended")
+    gaps = ordered.with_neighbours(rows, ["job_id"], F.date_trunc("minute", "ts"), ["ts", "event_id"], ["ts"], following=None)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    fresh = F.when(micros("ts") - micros("prev.ts") > ttl * 1_000_000, order)
+    facts = gaps.groupBy("job_id").agg(F.max_by(F.struct(*kept), order).alias("r"), F.max(fresh).alias("life"), F.max(F.when(over, order)).alias("end"))
+    # The life has ended if its last terminal row is not before its first one.
+    return facts.select("job_id", "r.*", (F.col("end").isNotNull() & (F.col("life").isNull() | (F.col("end") >= F.col("life")))).alias("ended"))
+
+
 def dedup_stream(submissions: DataFrame, work: str, delay: str = "3 hours") -> DataFrame:
     """Submissions of which no other with the same video arrived within the job's time to live."""
     unique = submissions.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["video_id"])
@@ -115,6 +144,29 @@ def dedup_stream(submissions: DataFrame, work: str, delay: str = "3 hours") -> D
     return submissions.sparkSession.read.parquet(f"{work}/unique").drop("batch")
 
 
+def submission_stream(events: DataFrame, work: str, finished_ttl: int = 3600, running_ttl: int = 10800) -> DataFrame:
+    """Submissions that start a job: one active job per video, freed by failure or by its time to live (``state.hold_submissions``).
+
+    ``events(video_id, job_id, ts, seq, status)``. The state is who holds each video, since when and how far it is; a batch reads and
+    writes the videos it names only. Holders past their time leave the state.
+    """
+    spark = events.sparkSession
+    state = KeyedState(spark, f"{work}/holders", ["video_id"], "video_id string, holder string, created timestamp, state string")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        now = batch.agg(F.max("ts")).first()[0]
+        alive = None if now is None else F.col("created") >= F.lit(now) - F.make_interval(secs=F.lit(max(finished_ttl, running_ttl)))
+        # Rows of a batch may be older than its newest one, so what is past its time is judged row by row, not here.
+        started, held = hold_submissions(batch, state.before(number), finished_ttl, running_ttl)
+        _write(started, work, "started", number)
+        state.put(number, held, alive)
+        batch.unpersist()
+
+    run_batches(events, handle, work)
+    return spark.read.parquet(f"{work}/started").drop("batch")
+
+
 def cache_metric_stream(events: DataFrame, work: str, length: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Cache hits and misses per window (ts, hit)."""
     counted = events.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w")).agg(
