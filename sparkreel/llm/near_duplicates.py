@@ -26,6 +26,8 @@ LEVEL = np.uint64(32)
 #: Further rounds of comparisons with a central member.
 ROUNDS = 1
 BLOCK = 256
+#: Texts of a group that are looked at one by one before their whole sets are.
+FEW = 16
 RANK_BITS = 20
 
 
@@ -201,8 +203,10 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     all links that matter for the groups are found, and a group of copies costs work in proportion.
 
     NULL and empty transcripts, or such without words, have an empty set and are linked with nothing. Texts of fewer than ``words``
-    words have one shingle, the whole sequence. A NULL video_id counts as larger than any other; rows with equal ids are rows of their own.
+    words have one shingle, the whole sequence. A NULL video_id counts as larger than any other; rows with equal ids are rows of their own. ``percent`` is 80 or more.
     """
+    if percent < 80:
+        raise ValueError("bands and agreement bounds are those of a similarity of 80 percent and more")
     rows = transcripts.select("video_id", "transcript")
     id_type = rows.schema["video_id"].dataType.simpleString()
     signed = cut_lineage(rows.mapInArrow(
@@ -267,17 +271,25 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     strays = outside(now).select("digest").distinct()
     roots = cut_lineage(now.select("digest", "root").distinct())
     rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint"))
-    # A group of one text is met only if its size and the first slots of its signature allow a link; they ride along with its shingles.
+    # A group is met only if the size and the first slots of the signature of one of its texts that hold the shingle allow a link; they
+    # ride along with its shingles. Of groups of many texts only the range of sizes does.
     own = strays.join(roots, "digest").join(brief, "digest").select(
         F.col("digest").alias("stray"), F.col("root").alias("own_root"), F.col("n").alias("own_n"), F.col("brief").alias("own_brief"))
     kept = rare.join(own, F.col("digest") == F.col("stray")).drop("digest")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    facts = roots.join(sizes, "root").join(brief, "digest").select("digest", "root", "size", F.when(F.col("size") == 1, F.col("n")).alias("n"),
-                                                                   F.when(F.col("size") == 1, F.col("brief")).alias("brief"))
-    marks = rare.join(facts, "digest").drop("digest").distinct()
-    of_size = F.least("own_n", "n") * 100 >= F.greatest("own_n", "n") * percent
-    alike = (F.col("size") > 1) | (of_size & (_agreeing(F.col("own_brief"), F.col("brief"), SHORT) >= AGREE_SHORT))
-    met = kept.join(marks.withColumnRenamed("shingle", "mark"), (F.col("shingle") == F.col("mark")) & (F.col("root") != F.col("own_root")) & alike)
+    facts = roots.join(sizes, "root").join(brief, "digest").select("digest", "root", "size", "n", "brief")
+    marks = rare.join(facts, "digest").groupBy("root", "shingle").agg(
+        F.first("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.first(F.when(F.col("size") == 1, F.col("brief"))).alias("brief"),
+        F.collect_list(F.when(F.col("size").between(2, FEW), F.struct("n", "brief"))).alias("texts"))
+
+    def alike(n: Column, of: Column) -> Column:
+        close = F.least("own_n", n) * 100 >= F.greatest("own_n", n) * percent
+        return close & (_agreeing(F.col("own_brief"), of, SHORT) >= AGREE_SHORT)
+
+    in_range = (F.col("own_n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("own_n") * percent)
+    allowed = in_range & F.when(F.col("size") == 1, alike(F.col("low"), F.col("brief"))).when(
+        F.col("size") <= FEW, F.exists("texts", lambda t: alike(t["n"], t["brief"]))).otherwise(True)
+    met = kept.join(marks.withColumnRenamed("shingle", "mark"), (F.col("shingle") == F.col("mark")) & (F.col("root") != F.col("own_root")) & allowed)
     # Before whole sets are sent, the long signatures of single texts are compared.
     single = roots.join(sizes.filter("size = 1"), "root").join(packs, "digest").select("root", F.col("packed").alias("root_packed"))
     met = met.select("stray", "root", "size").distinct().join(single, "root", "left").join(packs.withColumnRenamed("digest", "stray"), "stray")
