@@ -1,9 +1,9 @@
 """Greedy deduplication of clips: keep a clip unless it conflicts with a kept one of higher priority.
 
-Two exact ways to the same result. A video with few clips is folded in one expression. A video with
-many (it may hold a third of all rows) is settled in rounds: in every round a clip that leads all the
-groups it belongs to is kept, and undecided clips that conflict with it are dropped. Rounds use
-grouped minima and equi-joins only; no list of a whole video is ever built.
+The clips of a video are cut along time into blocks, and every block is folded once in the order of priority into kept, dropped and
+unknown clips: unknown is what may depend on a clip of another block, or conflicts with an unknown one. What conflicts with a kept clip
+goes, and the rest is cut anew, with borders in other places, until nothing is unknown. A video of one block has no borders and is
+settled at once; a hot one is spread over its blocks. No list of a whole video and no table of its conflicting pairs is ever built.
 """
 
 from __future__ import annotations
@@ -11,67 +11,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkreel.functions import text as tx
-from sparkreel.operators import similarity as sim
+from sparkreel.operators import ordered
 from sparkreel.session import cut_lineage
 
-FOLD_LIMIT = 1024
+BLOCK = 1024
 TIME_TILE = 64.0
 LINE_TILE = 8
 
 
-def _split_by_size(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(videos to fold, videos to settle in rounds or None)."""
-    large = nodes.groupBy("video_id").count().where(F.col("count") > limit).select("video_id")
-    if large.isEmpty():
-        return nodes, None
-    return nodes.join(large, "video_id", "left_anti"), nodes.join(large, "video_id", "left_semi")
-
-
 def _fold(nodes: DataFrame, fields: list[str], conflict) -> DataFrame:
-    """(video_id, ord) of the kept clips of small videos."""
+    """(video_id, ord, keep) of the decided clips; ``nodes`` has _block, and _inner: no clip of another block comes into question before it."""
     cell = F.struct(*fields)
-    ordered = nodes.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rank", cell.alias("c")))).alias("all"))
-    empty = F.filter(F.transform("all", lambda x: x["c"]), lambda x: F.lit(False))
-    kept = F.aggregate("all", empty, lambda acc, x: F.when(
-        F.exists(acc, lambda k: conflict(k, x["c"])), acc).otherwise(F.array_append(acc, x["c"])))
-    return ordered.select("video_id", F.explode(F.transform(kept, lambda k: k["ord"])).alias("ord"))
+    rows = nodes.groupBy("video_id", "_block").agg(F.array_sort(F.collect_list(F.struct("rank", cell.alias("c"), "_inner"))).alias("all"))
+    cells = F.filter(F.transform("all", lambda x: x["c"]), lambda x: F.lit(False))
+    states = F.array().cast("array<struct<ord: int, keep: boolean>>")
 
+    def step(acc: Column, x: Column) -> Column:
+        among = lambda name: F.exists(acc[name], lambda k: conflict(k, x["c"]))
+        add = lambda kept, unknown, out: F.struct(kept.alias("kept"), unknown.alias("unknown"), out.alias("out"))
+        said = lambda keep: F.array_append(acc["out"], F.struct(x["c"]["ord"].cast("int").alias("ord"), F.lit(keep).alias("keep")))
+        return F.when(among("kept"), add(acc["kept"], acc["unknown"], said(False))).when(
+            x["_inner"] & ~among("unknown"), add(F.array_append(acc["kept"], x["c"]), acc["unknown"], said(True))).otherwise(
+            add(acc["kept"], F.array_append(acc["unknown"], x["c"]), acc["out"]))
 
-def _round(undecided: DataFrame, columns: list[str], conflict) -> DataFrame:
-    """``undecided`` with ``keep`` for clips that lead all their groups and ``drop`` for clips those beat."""
-    id_ = ["video_id", "ord"]
-    entries = undecided.withColumn("group", F.explode("groups"))
-    best = entries.groupBy("video_id", "group").agg(F.min("rank").alias("best"))
-    leaders = entries.join(best, ["video_id", "group"]).groupBy(*id_).agg(
-        F.bool_and(F.col("rank") == F.col("best")).alias("leads")).where("leads").select(*id_)
-    this = F.struct(*columns)
-    leading = entries.join(leaders, id_, "left_semi").select("video_id", "group", this.alias("k"))
-    beaten = entries.join(leading, ["video_id", "group"]).where(
-        (F.col("ord") != F.col("k.ord")) & (F.startswith("group", F.lit("=")) | conflict(F.col("k"), this))).select(*id_).distinct()
-    return undecided.join(leaders.withColumn("keep", F.lit(True)), id_, "left").join(
-        beaten.withColumn("drop", F.lit(True)), id_, "left")
-
-
-def _greedy(nodes: DataFrame, fields: list[str], conflict, with_groups, group_conflict, limit: int) -> DataFrame:
-    """(video_id, ord) of the kept clips.
-
-    ``with_groups`` adds ``groups`` such that every two conflicting clips share one; ``group_conflict``
-    decides on pairs of a group, and groups whose name starts with ``=`` hold conflicting clips only.
-    A video leaves the rounds as soon as few enough of its clips are undecided to be folded: what is
-    undecided conflicts with nothing kept so far.
+    start = F.struct(cells.alias("kept"), cells.alias("unknown"), states.alias("out"))
+    folded = rows.select("video_id", F.aggregate("all", start, step)["out"].alias("out"))
+    return folded.select("video_id", F.explode("out").alias("o")).select("video_id", "o.ord", "o.keep")
+
+
+def _in_blocks(undecided: DataFrame, block: int, turn: int) -> DataFrame:
+    """Blocks of ``block`` clips along time, moved by half a block every other turn, and which clips wait for none of another block.
+
+    Conflicting clips share a group. A clip may wait for another block if the best clip of one of its groups, outside its own
+    block, comes before it; two rows per group, the best and the best of other blocks, tell that.
     """
+    levels = [F.floor(F.col("s") / 64), F.col("s"), F.floor(F.col("ord") / 1024)]
+    placed = ordered.running_total(undecided, ["video_id"], levels, ["s", "ord"], F.lit(1), "_place")
+    placed = placed.withColumn("_block", F.floor((F.col("_place") - 1 + turn % 2 * (block // 2)) / block)).drop("_place")
+    entries = placed.select("video_id", "ord", "rank", "_block", F.explode("groups").alias("group"))
+    best = entries.groupBy("video_id", "group", "_block").agg(F.min("rank").alias("r"))
+    first = best.groupBy("video_id", "group").agg(F.min(F.struct("r", "_block")).alias("f"))
+    others = best.join(first, ["video_id", "group"]).where(F.col("_block") != F.col("f._block")).groupBy("video_id", "group").agg(
+        F.first("f").alias("f"), F.min("r").alias("second"))
+    # A group within one block holds nobody back.
+    waits = entries.join(others, ["video_id", "group"]).where(
+        F.when(F.col("_block") == F.col("f._block"), F.col("second")).otherwise(F.col("f.r")) < F.col("rank"))
+    outer = waits.select("video_id", "ord").distinct().withColumn("_inner", F.lit(False))
+    return placed.join(outer, ["video_id", "ord"], "left").withColumn("_inner", F.coalesce("_inner", F.lit(True)))
+
+
+def _beaten(rest: DataFrame, kept: DataFrame, fields: list[str], conflict) -> DataFrame:
+    """(video_id, ord) of ``rest`` in conflict with a clip of ``kept``; both have their groups and ``fields``."""
     id_ = ["video_id", "ord"]
-    small, undecided = _split_by_size(nodes, limit)
-    kept = _fold(small, fields, conflict)
-    if undecided is None:
+    entries = lambda df, name: df.select("video_id", F.col("ord").alias(name), F.explode("groups").alias("group"))
+    met = entries(rest, "ord").join(entries(kept, "by"), ["video_id", "group"]).select(*id_, "by").distinct()
+    cell = F.struct(*fields)
+    both = met.join(kept.select("video_id", F.col("ord").alias("by"), cell.alias("k")), ["video_id", "by"]).join(rest.select(*id_, cell.alias("x")), id_)
+    return both.where(conflict(F.col("k"), F.col("x"))).select(*id_).distinct()
+
+
+def _greedy(nodes: DataFrame, fields: list[str], conflict, with_groups, block: int) -> DataFrame:
+    """(video_id, ord) of the kept clips; ``with_groups`` adds ``groups`` such that every two conflicting clips share one."""
+    id_ = ["video_id", "ord"]
+    sizes = nodes.groupBy("video_id").count().where(F.col("count") > block).select("video_id")
+    whole = nodes.join(sizes, "video_id", "left_anti").withColumns({"_block": F.lit(0), "_inner": F.lit(True)})
+    kept = _fold(whole, fields, conflict).where("keep").select(*id_)
+    if sizes.isEmpty():
         return kept
-    undecided = cut_lineage(with_groups(undecided))
-    columns = [c for c in undecided.columns if c not in ("video_id", "groups")]
-    while undecided is not None:
-        verdict = cut_lineage(_round(undecided, columns, group_conflict))
-        kept = kept.unionByName(verdict.where("keep").select(*id_))
-        small, undecided = _split_by_size(verdict.where("keep IS NULL AND drop IS NULL").drop("keep", "drop"), limit)
-        kept = kept.unionByName(_fold(nodes.join(small.select(*id_), id_, "left_semi"), fields, conflict))
+    undecided, turn = cut_lineage(with_groups(nodes.join(sizes, "video_id", "left_semi"))), 0
+    while not undecided.isEmpty():
+        verdict = cut_lineage(_fold(_in_blocks(undecided, block, turn), fields, conflict))
+        chosen = verdict.where("keep").select(*id_)
+        kept, turn = kept.unionByName(chosen), turn + 1
+        rest = undecided.join(verdict.select(*id_), id_, "left_anti")
+        undecided = cut_lineage(rest.join(_beaten(rest, undecided.join(chosen, id_, "left_semi"), fields, conflict), id_, "left_anti"))
     return kept
 
 
@@ -82,7 +95,7 @@ def _tiles(prefix: str, low: Column, high: Column, width: float) -> Column:
     return F.transform(F.sequence(first, last), lambda t: F.concat(F.lit(prefix), t.cast("string")))
 
 
-def dedup_candidates(candidates: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def dedup_candidates(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     """Candidates kept by score (ties: list order) such that no two share a transcript line.
 
     Needs video_id, ord, start_index, end_index (inclusive), virality_score.
@@ -92,7 +105,7 @@ def dedup_candidates(candidates: DataFrame, fold_limit: int = FOLD_LIMIT) -> Dat
                               F.col("start_index").alias("s"), F.col("end_index").alias("e"))
     conflict = lambda k, x: (k["s"] <= x["e"]) & (k["e"] >= x["s"])
     tiles = lambda df: df.withColumn("groups", _tiles("t", F.col("s"), F.col("e") + 1, LINE_TILE))
-    kept = _greedy(cut_lineage(nodes), ["ord", "s", "e"], conflict, tiles, conflict, fold_limit)
+    kept = _greedy(cut_lineage(nodes), ["ord", "s", "e"], conflict, tiles, block)
     return candidates.join(kept, ["video_id", "ord"], "left_semi")
 
 
@@ -119,53 +132,53 @@ def _clip_conflict(k: Column, x: Column) -> Column:
             | (tx.jaccard(k["hooks"], x["hooks"]) > HOOK_LIMIT))
 
 
-def _class_groups(nodes: DataFrame, words: str, threshold: float, prefix: str) -> DataFrame:
-    """(video_id, class_id, names): one group per set class and one per pair of resembling classes."""
-    classes = sim.classes_of(nodes, ["video_id"], words)
-    alike = sim.similar_classes(classes, classes, threshold, ["video_id"]).where("left_id < right_id")
-    name = F.concat(F.lit(f"={prefix}:"), "left_id", F.lit(":"), "right_id")
-    ends = alike.select("video_id", F.explode(F.array("left_id", "right_id")).alias("class_id"), name.alias("name"))
-    own = classes.select("video_id", "class_id", F.concat(F.lit(f"={prefix}:"), "class_id").alias("name"))
-    return own.unionByName(ends).groupBy("video_id", "class_id").agg(F.collect_list("name").alias(f"{words}_groups"))
+def _rare_words(nodes: DataFrame, words: str, threshold: float, prefix: str) -> DataFrame:
+    """(video_id, ord, names): of each set its rarest words in the video, so many that sets above ``threshold`` share one."""
+    tokens = nodes.select("video_id", "ord", F.size(words).alias("n"), F.explode(words).alias("word"))
+    counts = tokens.groupBy("video_id", "word").agg(F.count("*").alias("df"))
+    ranked = tokens.join(counts, ["video_id", "word"]).groupBy("video_id", "ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("all"))
+    # The small slack keeps a product such as 0.6 * 5 from rounding up past its integer.
+    share = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    names = F.transform(F.slice("all", F.lit(1), share), lambda x: F.concat(F.lit(f"{prefix}:"), x["word"]))
+    return ranked.select("video_id", "ord", names.alias(f"{words}_groups"))
 
 
 def _with_groups(nodes: DataFrame) -> DataFrame:
     out = nodes
     for words, threshold, prefix in (("words", TEXT_LIMIT, "w"), ("hooks", HOOK_LIMIT, "h")):
-        groups = _class_groups(nodes, words, threshold, prefix)
-        out = out.withColumn("class_id", sim.set_class(F.col(words))).join(groups, ["video_id", "class_id"], "left").drop("class_id")
+        out = out.join(_rare_words(nodes, words, threshold, prefix), ["video_id", "ord"], "left")
     none = F.array().cast("array<string>")
     named = F.concat(_tiles("t", F.col("s"), F.col("e"), TIME_TILE), _tiles("l", F.col("ls"), F.col("le") + 1, LINE_TILE),
                      F.coalesce("words_groups", none), F.coalesce("hooks_groups", none))
-    return out.withColumn("groups", named).drop("words_groups", "hooks_groups", "words", "hooks")
+    return out.withColumn("groups", named).drop("words_groups", "hooks_groups")
 
 
-def dedup_clips(clips: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+FIELDS = ["ord", "s", "e", "ls", "le", "words", "hooks"]
+
+
+def dedup_clips(clips: DataFrame, block: int = BLOCK) -> DataFrame:
     """Clips kept by score (by length where there is none) that differ in time, lines, text and hook.
 
     Needs video_id, ord, start_time, end_time, start_index, end_index, virality_score, title,
     shorts_title and the clip's whole text. The input is used several times, so it is staged once.
     """
     clips = cut_lineage(clips)
-    nodes = cut_lineage(_clip_nodes(clips))
-    kept = _greedy(nodes, ["ord", "s", "e", "ls", "le", "words", "hooks"], _clip_conflict, _with_groups, _interval_conflict, fold_limit)
+    kept = _greedy(cut_lineage(_clip_nodes(clips)), FIELDS, _clip_conflict, _with_groups, block)
     return clips.join(kept, ["video_id", "ord"], "left_semi")
 
 
 def drop_reasons(clips: DataFrame, kept: DataFrame) -> DataFrame:
     """Why each dropped clip went: the highest-priority kept clip it conflicts with and the first check that failed."""
-    nodes = cut_lineage(_clip_nodes(clips))
-    sets = nodes.select("video_id", "ord", "words", "hooks")
-    grouped = _with_groups(nodes).join(sets, ["video_id", "ord"])
-    entries = grouped.withColumn("group", F.explode("groups")).drop("groups")
-    entries = cut_lineage(entries)
-    cell = F.struct([c for c in entries.columns if c not in ("video_id", "group")])
-    held = entries.join(kept.select("video_id", "ord"), ["video_id", "ord"], "left_semi").select("video_id", "group", cell.alias("k"))
-    lost = entries.join(kept.select("video_id", "ord"), ["video_id", "ord"], "left_anti").select("video_id", "group", cell.alias("x"))
+    id_ = ["video_id", "ord"]
+    nodes = cut_lineage(_with_groups(_clip_nodes(clips)))
+    names = nodes.select(*id_, F.explode("groups").alias("group"))
+    held = names.join(kept.select(*id_), id_, "left_semi").withColumnRenamed("ord", "by")
+    met = names.join(kept.select(*id_), id_, "left_anti").join(held, ["video_id", "group"]).select(*id_, "by").distinct()
+    cell = F.struct("rank", *FIELDS)
+    both = met.join(nodes.select("video_id", F.col("ord").alias("by"), cell.alias("k")), ["video_id", "by"]).join(nodes.select(*id_, cell.alias("x")), id_)
     k, x = F.col("k"), F.col("x")
     hit = (F.when((k["s"] < x["e"]) & (k["e"] > x["s"]), "temporal overlap").when(_interval_conflict(k, x), "index redundancy")
            .when(tx.jaccard(k["words"], x["words"]) > TEXT_LIMIT, "text-level semantic redundancy")
            .when(tx.jaccard(k["hooks"], x["hooks"]) > HOOK_LIMIT, "hook concept redundancy"))
-    found = lost.join(held, ["video_id", "group"]).where(k["rank"] < x["rank"]).withColumn("reason", hit).where("reason IS NOT NULL")
-    return found.groupBy("video_id", F.col("x.ord").alias("ord")).agg(
-        F.min_by(F.struct("reason", F.col("k.ord").alias("kept_ord")), F.col("k.rank")).alias("r")).select("video_id", "ord", "r.*")
+    found = both.where(k["rank"] < x["rank"]).withColumn("reason", hit).where("reason IS NOT NULL")
+    return found.groupBy(*id_).agg(F.min_by(F.struct("reason", F.col("by").alias("kept_ord")), F.col("k.rank")).alias("r")).select(*id_, "r.*")

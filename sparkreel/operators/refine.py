@@ -187,10 +187,10 @@ def prepared_clips(candidates: DataFrame, lines: DataFrame, refine: bool = True)
     return clip_text(with_seo(with_quality(candidates, lines, refine)), lines)
 
 
-def validate_clips(candidates: DataFrame, lines: DataFrame, refine: bool = True, fold_limit: int = 1024) -> DataFrame:
+def validate_clips(candidates: DataFrame, lines: DataFrame, refine: bool = True, block: int = 1024) -> DataFrame:
     """Refined, clamped, graded, completed and deduplicated clips."""
     from sparkreel.operators.dedup import dedup_clips
-    return dedup_clips(prepared_clips(candidates, lines, refine), fold_limit)
+    return dedup_clips(prepared_clips(candidates, lines, refine), block)
 
 
 def within_window(clips: DataFrame, adjusted: DataFrame, radius: int = 8) -> DataFrame:

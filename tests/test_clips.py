@@ -63,13 +63,13 @@ def test_nearest_line(spark):
     assert bounds(joins.nearest_line(timed, src)) == [(2, 9)]
 
 
-@pytest.mark.parametrize("limit", [1024, 0])
+@pytest.mark.parametrize("limit", [1024, 2])
 def test_dedup_candidates(spark, limit):
     kept = dedup.dedup_candidates(cands(spark, [(2, 8, 9.0), (3, 9, 8.0), (15, 22, 9.5), (16, 23, 7.0), (30, 35, 8.5)]), limit)
     assert sorted(r.title[-1] for r in kept.collect()) == ["A", "C", "E"]
 
 
-def test_rounds_equal_fold_and_plain_greedy(spark):
+def test_blocks_of_any_size_equal_plain_greedy(spark):
     rng = random.Random(7)
     rows = []
     for video, n in (("a", 300), ("b", 40), ("c", 1)):
@@ -84,7 +84,7 @@ def test_rounds_equal_fold_and_plain_greedy(spark):
             if not any(k[3] <= r[4] and k[4] >= r[3] for k in kept):
                 kept.append(r)
         want |= {(r[0], r[1]) for r in kept}
-    for limit in (1024, 100, 0):
+    for limit in (1024, 100, 8):
         assert {(r.video_id, r.ord) for r in dedup.dedup_candidates(df, limit).collect()} == want
 
 
@@ -94,7 +94,7 @@ def full_clips(spark, rows):
                                  "video_id string, ord int, start_time double, end_time double, start_index int, end_index int, title string, shorts_title string, text string, virality_score double")
 
 
-@pytest.mark.parametrize("limit", [1024, 0])
+@pytest.mark.parametrize("limit", [1024, 2])
 def test_dedup_clips_by_hook_and_text(spark, limit):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(0, 0, 40, "secret plan works well now", words, 9.0), (1, 100, 140, "secret plan works well now", "other text here entirely", 8.0),
@@ -106,7 +106,7 @@ def test_dedup_clips_by_hook_and_text(spark, limit):
     assert reasons == {1: "hook concept redundancy", 2: "text-level semantic redundancy", 4: "temporal overlap"}
 
 
-def test_dedup_clips_rounds_equal_fold_on_random_clips(spark):
+def test_dedup_clips_in_blocks_equal_one_fold_on_random_clips(spark):
     rng = random.Random(3)
     pool = [f"w{i}" for i in range(14)]
     rows = []
@@ -114,8 +114,23 @@ def test_dedup_clips_rounds_equal_fold_on_random_clips(spark):
         s = rng.randrange(0, 3000)
         rows.append((i, s, s + rng.randrange(20, 60), " ".join(rng.sample(pool, 4)), " ".join(rng.sample(pool, 9)), float(rng.randrange(4))))
     df = full_clips(spark, rows)
-    fold, rounds = ({r.ord for r in dedup.dedup_clips(df, limit).collect()} for limit in (1024, 0))
-    assert fold == rounds and 0 < len(fold) < 120
+    fold, blocks = ({r.ord for r in dedup.dedup_clips(df, limit).collect()} for limit in (1024, 16))
+    assert fold == blocks and 0 < len(fold) < 120
+
+
+def test_a_chain_of_clips_of_equal_score(spark):
+    """Every clip overlaps the next one only, so each decision depends on the one before; blocks carry them on, not single clips."""
+    n = 6000
+    df = cands(spark, [(2 * i, 2 * i + 2, 5.0) for i in range(n)])
+    kept = sorted(r.ord for r in dedup.dedup_candidates(df, 2048).collect())
+    assert kept == list(range(0, n, 2))
+
+
+def test_many_clips_of_nearly_the_same_text(spark):
+    """Whatever block they are in, clips that resemble one kept clip meet it through their rarest words, not each other."""
+    words = [f"word{k}" for k in range(40)]
+    rows = [(i, 100 * i, 100 * i + 40, f"headline{i} number{i} of{i}", " ".join([*words, f"own{i}"]), 5.0) for i in range(600)]
+    assert [r.ord for r in dedup.dedup_clips(full_clips(spark, rows), 256).collect()] == [0]
 
 
 def test_finished_clips_never_overlap(spark, sf):
