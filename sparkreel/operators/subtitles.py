@@ -6,7 +6,13 @@ shuffle brings them together and every order-dependent step runs as an array exp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkreel import lexicon as lx
 from sparkreel.functions import text as tx
@@ -185,21 +191,47 @@ def cooldown_select(events: DataFrame, rest: float = 8.0, margin: float = 2.0) -
     return rows.select("clip_id", F.explode(picked).alias("p")).select("clip_id", "p.*")
 
 
+def _lowest_paths(tracks: DataFrame, key: str, n: int) -> DataFrame:
+    """Of each key the ``n`` lowest paths."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("path"))
+    lowest = tracks.select(key, "path").distinct().withColumn("_place", place).where(F.col("_place") <= n)
+    return lowest.groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("tracks"))
+
+
+def _choosing(memory: int, schema: StructType):
+    """One track per clip, in the order of a job; only the job's last ``memory`` tracks are held."""
+    kinds = [to_arrow_schema(schema).field(i) for i in range(3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, used = object(), deque(maxlen=memory)
+        for batch in batches:
+            names, chosen = batch.column("job_id").to_pylist(), []
+            for name, tracks in zip(names, batch.column("tracks").to_pylist()):
+                if name != job:
+                    job, used = name, deque(maxlen=memory)
+                track = next((t for t in tracks or [] if t not in used), tracks[0] if tracks else None)
+                if track is not None:
+                    used.append(track)
+                chosen.append(track)
+            yield pa.RecordBatch.from_arrays([batch.column("job_id"), batch.column("clip_id"), pa.array(chosen, pa.string())], schema=pa.schema(kinds))
+    return run
+
+
 def fifo_track_choice(clips: DataFrame, library: DataFrame, memory: int = 5) -> DataFrame:
     """The lowest track of the clip's category that is not among the last ``memory`` tracks of its job.
 
-    Needs clips (job_id, seq, clip_id, category), where a job holds the few clips of one request, and
-    library (path, category). Where every track was used lately the choice starts over. A category without tracks takes those of
-    ``default``, then any; a clip for which there is none at all keeps its row, with a NULL track.
+    Needs clips (job_id, seq, clip_id, category) and library (path, category); tracks of the library's root have an empty or no category.
+    Where every track was used lately the choice starts over. A category without tracks takes those of ``default``, then those of the
+    root, then any; a clip for which there is none at all keeps its row, with a NULL track. Of a category only its ``memory`` + 1 lowest
+    tracks can ever be chosen, so a clip carries no more. A job's choices depend on each other: they run through one task, in the
+    job's order, and hold ``memory`` tracks, however many clips it has.
     """
-    listed = F.array_sort(F.collect_set("path")).alias("tracks")
-    tracks = library.groupBy("category").agg(listed)
-    rest = library.agg(F.array_sort(F.collect_set(F.when(F.col("category") == "default", F.col("path")))).alias("own"), listed)
-    fallback = rest.select(F.when(F.size("own") > 0, F.col("own")).when(F.size("tracks") > 0, F.col("tracks")).alias("tracks"))
-    rows = clips.join(tracks, "category", "left").withColumn("tracks", F.coalesce("tracks", fallback.scalar())).groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "clip_id", "tracks"))).alias("all"))
-    picked = F.expr(f"""aggregate(all, named_struct('used', cast(array() AS array<string>), 'out', cast(array() AS array<struct<clip_id:string,track:string>>)),
-        (a, x) -> get(transform(array(coalesce(get(array_except(x.tracks, a.used), 0), get(x.tracks, 0))), t -> named_struct(
-            'used', if(t is null, a.used, slice(array_append(a.used, t), greatest(1, size(a.used) + 2 - {memory}), {memory})),
-            'out', array_append(a.out, named_struct('clip_id', x.clip_id, 'track', t)))), 0), a -> a.out)""")
-    return rows.select("job_id", F.explode(picked).alias("p")).select("job_id", "p.*")
+    folder = F.coalesce("category", F.lit(""))
+    named = library.where("path IS NOT NULL").select("path", folder.alias("category"))
+    tracks = _lowest_paths(named.where("category <> ''"), "category", memory + 1)
+    tier = F.explode(F.array_compact(F.array(F.when(F.col("category") == "default", 0), F.when(F.col("category") == "", 1), F.lit(2))))
+    rest = _lowest_paths(named.withColumn("tier", tier), "tier", memory + 1).agg(F.min_by("tracks", "tier").alias("t")).select("t").scalar()
+    rows = clips.select("job_id", "seq", "clip_id", "category").join(tracks, "category", "left").withColumn("tracks", F.coalesce("tracks", rest))
+    ordered = rows.select("job_id", "seq", "clip_id", "tracks").repartition("job_id").sortWithinPartitions("job_id", "seq", "clip_id")
+    out = StructType([*clips.select("job_id", "clip_id").schema, StructField("track", StringType())])
+    return ordered.mapInArrow(_choosing(memory, out), out)

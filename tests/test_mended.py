@@ -17,6 +17,22 @@ def test_no_clip_is_lost_for_want_of_a_track(spark):
     assert {r.clip_id: r.track for r in sb.fifo_track_choice(clips, library.filter("false")).collect()} == {"a": None, "b": None, "c": None}
 
 
+def test_tracks_of_the_root_come_before_any(spark):
+    clips = spark.createDataFrame([("j", 1, "a", "calm"), ("j", 2, "b", ""), ("j", 3, "c", "loud")], "job_id string, seq int, clip_id string, category string")
+    library = spark.createDataFrame([("a/1", "loud"), ("r1", None), ("r2", ""), ("r2", "")], "path string, category string")
+    assert {r.clip_id: r.track for r in sb.fifo_track_choice(clips, library).collect()} == {"a": "r1", "b": "r2", "c": "a/1"}
+    rest = library.filter("category = 'loud'")
+    assert {r.track for r in sb.fifo_track_choice(clips, rest).collect()} == {"a/1"}
+
+
+def test_a_job_of_very_many_clips_goes_round_its_tracks(spark):
+    library = spark.createDataFrame([(f"calm/{k}", "calm") for k in range(9)], "path string, category string")
+    clips = spark.range(100_000).selectExpr("'j' AS job_id", "id AS seq", "CAST(id AS STRING) AS clip_id", "'calm' AS category")
+    got = sb.fifo_track_choice(clips, library)
+    assert got.count() == 100_000
+    assert got.selectExpr("CAST(substr(track, 6) AS INT) = CAST(clip_id AS INT) % 6 AS ok").where("NOT ok").count() == 0
+
+
 def test_clip_of_unknown_arm_stays(spark):
     clips = spark.createDataFrame([(1, "A", {"hook": 2.0}), (2, "Z", {"hook": 2.0}), (3, None, {})], "clip_id int, variant_id string, detailed_scores map<string,double>")
     arms = spark.createDataFrame([("A", {"hook": 0.5})], "variant_id string, weights map<string,double>")
@@ -32,7 +48,7 @@ def test_stream_over_a_folder_in_several_batches(spark, sf, tmp_path):
         return {tuple(r) for r in feeds.snapshot_stream(events, str(tmp_path / work)).select("clip_id", "seq", "value").collect()}
 
     assert newest(folder, "many", files=1) == newest(sf, "one")
-    assert len(list((tmp_path / "many" / "current").glob("batch=*"))) == 3
+    assert len(list((tmp_path / "many" / "current" / "level=0").glob("upto=*"))) == 3
 
 
 def test_dialogue_text_may_begin_with_a_comma(spark):
