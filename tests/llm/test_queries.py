@@ -29,8 +29,8 @@ def test_against_sql(spark, sf, name):
     assert problem is None and got, rows
 
 
-def test_ten_operators_and_five_stages():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_operators_and_five_stages():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
 
 
