@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkreel.llm import suffixes
@@ -27,12 +28,15 @@ GATHERED = 16 << 20
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _compressed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+class Packing:
+    """Compression of texts and strips with words of the corpus at hand; it says nothing about what repeats."""
 
-
-def _plain(data: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    def __init__(self, words: bytes):
+        shared = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if words else None
+        if shared:
+            shared.precompute_compress(level=3)
+        self.pack = zstandard.ZstdCompressor(level=3, dict_data=shared).compress
+        self.plain = zstandard.ZstdDecompressor(dict_data=shared).decompress
 
 
 def _anchors(raw: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,15 +128,37 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
         yield held
 
 
-def _judged(width: int):
-    """Of each part the anchors that stand in several texts, by text."""
-    def sent(names: np.ndarray, text: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(text, kind="stable")
-        text, anchor = text[order], anchor[order]
-        own, first = np.unique(text, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[own]], pa.binary()),
-                                           pa.array([_narrow(a, width) for a in np.split(anchor, first[1:])], pa.binary())], ["key", "anchors"])
+def _by_bucket(names: np.ndarray, text: np.ndarray, anchor: np.ndarray, parts: int, width: int) -> pa.RecordBatch:
+    """Anchors of texts, dealt by text: one row for each bucket of texts."""
+    own, index, sizes = np.unique(text, return_inverse=True, return_counts=True)
+    bucket = names[own].view("<u4").reshape(-1, 4)[:, 0] % parts
+    order = np.lexsort((index, bucket[index]))
+    anchor, by = anchor[order], np.argsort(bucket, kind="stable")
+    own, sizes, bucket = own[by], sizes[by], bucket[by]
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(own)]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    rows = [(int(bucket[a]), names[own[a:b]].tobytes(), sizes[a:b].astype("<u4").tobytes(), _narrow(anchor[ends[a]:ends[b]], width)) for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                                      ["bucket", "keys", "sizes", "anchors"])
+
+
+def _gathered(width: int):
+    """Of each bucket the shared anchors of every text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket"):
+            sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in rows]).astype(np.int64)
+            name, index = np.unique(np.concatenate([np.frombuffer(r["keys"], "V16") for r in rows]), return_inverse=True)
+            anchor = _wide(b"".join(r["anchors"] for r in rows), width)
+            text = np.repeat(index, sizes)
+            order = np.argsort(text, kind="stable")
+            cuts = np.cumsum(np.bincount(text, minlength=len(name)))[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in name], pa.binary()),
+                                              pa.array([_narrow(a, width) for a in np.split(anchor[order], cuts)], pa.binary())], ["key", "anchors"])
+    return run
 
+
+def _judged(width: int, parts: int):
+    """Of each part the anchors that stand in several texts, by text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "part"):
             names, texts, anchors, flags, before = [], [], [], [], 0
@@ -141,7 +167,7 @@ def _judged(width: int):
                 own = np.frombuffer(row["keys"], "V16")
                 text = np.repeat(np.arange(len(own)), np.frombuffer(row["sizes"], "<u4"))
                 if row["kind"] == KNOWN:
-                    yield sent(own, text, anchor)
+                    yield _by_bucket(own, text, anchor, parts, width)
                     continue
                 names.append(own)
                 texts.append(text + before if len(own) else np.full(len(anchor), -1))
@@ -161,21 +187,24 @@ def _judged(width: int):
             size = np.diff(np.append(starts, len(first)))
             shared = np.repeat((size > 1) | (text[starts] < 0), size) & (text >= 0)
             if shared.any():
-                yield sent(name, text[shared], anchor[shared])
+                yield _by_bucket(name, text[shared], anchor[shared], parts, width)
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(words: bytes):
     """Texts compressed, as they are sent twice."""
-    for batch in text_slices(batches, "transcript"):
-        raw, offsets = text_buffer(batch.column("transcript"))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([_compressed(raw[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.binary())],
-                                         ["key", "packed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Packing(words).pack
+        for batch in text_slices(batches, "transcript"):
+            raw, offsets = text_buffer(batch.column("transcript"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pack(raw[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.binary())],
+                                             ["key", "packed"])
+    return run
 
 
-def _strips(length: int, parts: int, width: int):
+def _strips(length: int, parts: int, width: int, words: bytes):
     """Strips of windows with a shared anchor, dealt by anchor: equal windows meet in one part, whatever stands around them."""
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple], pack) -> Iterator[pa.RecordBatch]:
         part, number, lead, start, count = (np.concatenate([x[k] for x in held]) for k in range(5))
         raw = b"".join([x[5] for x in held])
         size = count + length - 1
@@ -196,16 +225,16 @@ def _strips(length: int, parts: int, width: int):
                 if kind:
                     data.append(raw[np.repeat(stops[own] - np.cumsum(size[own]), size[own]) + np.arange(size[own].sum())])
                 names.append(int(part[own[0]] if kind else number[own[0]] % parts))
-                blobs.append((kind, _compressed(b"".join([len(own).to_bytes(8, "little"), *[d.tobytes() for d in data]]))))
+                blobs.append((kind, pack(b"".join([len(own).to_bytes(8, "little"), *[d.tobytes() for d in data]]))))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([k for k, _ in blobs]), pa.array([d for _, d in blobs], pa.binary())],
                                          ["part", "judged", "strips"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total, codec = [], 0, Packing(words)
         for batch in batches:
             for row in batch.to_pylist():
-                raw = np.frombuffer(_plain(row["packed"]), np.uint8)
-                shared = np.unique(np.concatenate([_wide(a, width) for a in row["anchors"]]))
+                raw = np.frombuffer(codec.plain(row["packed"]), np.uint8)
+                shared = np.unique(_wide(row["anchors"], width))
                 for at, low in _anchors(raw, length, width):
                     hit = shared[np.minimum(np.searchsorted(shared, low), len(shared) - 1)] == low
                     new = np.concatenate([[True], low[1:] != low[:-1]])
@@ -221,14 +250,14 @@ def _strips(length: int, parts: int, width: int):
                     held.append((_part(low[first], parts), np.full(n, row["number"]), np.full(n, row["lead"]), at + first, count, raw[pick].tobytes()))
                     total += len(pick)
                     if total >= GATHERED:
-                        yield from flush(held)
+                        yield from flush(held, codec.pack)
                         held, total = [], 0
         if total:
-            yield from flush(held)
+            yield from flush(held, codec.pack)
     return run
 
 
-def _repeats(length: int, folder: str, budget: int):
+def _repeats(length: int, folder: str, budget: int, words: bytes):
     """Per part: the distinct strips' suffixes in order, the first transcript of each group of equal windows, and for each text the
     windows that an earlier transcript holds."""
     def sent(number: np.ndarray, start: np.ndarray, masks: np.ndarray) -> pa.RecordBatch:
@@ -239,11 +268,12 @@ def _repeats(length: int, folder: str, budget: int):
         return pa.RecordBatch.from_arrays([pa.array(own), *lists], ["number", "starts", "masks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = Packing(words).plain
         for rows in _runs(batches, "part"):
             strips: dict[bytes, int] = {}
             members = []
             for row in rows:
-                data = _plain(row["strips"])
+                data = plain(row["strips"])
                 n = int.from_bytes(data[:8], "little")
                 number, lead = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
                 start, count = np.frombuffer(data, "<u4", n, 8 + 16 * n), np.frombuffer(data, "<u1", n, 8 + 20 * n).astype(np.int64)
@@ -278,14 +308,15 @@ def _repeats(length: int, folder: str, budget: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, words: bytes):
     """Texts without the bytes of the marked windows: maximal runs and the bytes that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = Packing(words).plain
         for batch in batches:
             out = []
             marks = batch.column("marks")
             for i, row in enumerate(batch.select(["key", "packed"]).to_pylist()):
-                raw = _plain(row["packed"])
+                raw = plain(row["packed"])
                 start, mask = (marks[i].values.field(c).flatten().to_numpy() for c in ("starts", "masks"))
                 whole = np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 which, bit = np.nonzero(whole)
@@ -349,17 +380,21 @@ def repeated_text(transcripts: DataFrame, length: int = 50, budget: int = suffix
     spread = cut_lineage(spread.join(leads, "first", "left").select("key", "first", "number", F.coalesce("lead", "number").alias("lead")))
 
     texts = rows.filter(F.octet_length("transcript") >= length).select("key", "transcript")
+    # A few texts whose words help to compress the others; results don't depend on them.
+    words = "".join(r[0] for r in texts.select(F.substring("transcript", 1, 4096)).limit(32).collect()).encode()
     listed = texts.mapInArrow(_listed(length, parts(ANCHOR_PART), width), FOUND)
-    shared = listed.repartition("part").sortWithinPartitions("part").mapInArrow(_judged(width), "key binary, anchors binary")
-    shared = cut_lineage(shared.groupBy("key").agg(F.collect_list("anchors").alias("anchors")))
-    distinct = texts.mapInArrow(_packed, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
-    strips = distinct.join(shared, "key").join(spread.select("key", "number", "lead"), "key").mapInArrow(_strips(length, parts(STRIP_PART), width), "part int, judged boolean, strips binary")
+    judged = listed.repartition("part").sortWithinPartitions("part").mapInArrow(
+        _judged(width, parts(ANCHOR_PART)), "bucket bigint, keys binary, sizes binary, anchors binary")
+    shared = cut_lineage(judged.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gathered(width), "key binary, anchors binary"))
+    distinct = texts.mapInArrow(_packed(words), "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
+    strips = distinct.join(shared, "key").join(spread.select("key", "number", "lead"), "key").mapInArrow(
+        _strips(length, parts(STRIP_PART), width, words), "part int, judged boolean, strips binary")
     marks = strips.repartition("part").sortWithinPartitions("part").mapInArrow(
-        _repeats(length, folder, budget), "number bigint, starts array<bigint>, masks array<bigint>")
+        _repeats(length, folder, budget, words), "number bigint, starts array<bigint>, masks array<bigint>")
     marks = cut_lineage(marks.groupBy("number").agg(F.collect_list(F.struct("starts", "masks")).alias("marks")))
     marked = marks.join(spread.select("key", "number"), "number").drop("number")
     cut = distinct.join(marked, "key").mapInArrow(
-        _cut(length), "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
+        _cut(length, words), "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
 
     known = cut_lineage(spread.select("key", "first").join(cut, "key", "left"))
     joined = each.join(known, "key")
