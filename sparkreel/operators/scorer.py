@@ -25,9 +25,18 @@ def title_scorer(df: DataFrame) -> DataFrame:
 
 
 def score(df: DataFrame, scorer: Scorer = title_scorer) -> DataFrame:
-    """Score every candidate; rows the scorer leaves NULL get the built-in values."""
-    scored = scorer(df)
-    return scored.withColumn("detailed_scores", F.coalesce("detailed_scores", scoring.mock_scores(F.coalesce("title", F.lit("")))))
+    """Score every candidate with ``scorer``, which adds ``detailed_scores`` and leaves it NULL where it fails.
+
+    Such rows are marked ``failed`` and get the built-in values of their title, or of the word Fallback where they have none.
+    """
+    scored = scorer(df).withColumn("failed", F.col("detailed_scores").isNull())
+    return scored.withColumn("detailed_scores", F.coalesce("detailed_scores", scoring.mock_scores(F.coalesce("title", F.lit("Fallback")))))
+
+
+def score_candidates(df: DataFrame, scorer: Scorer = title_scorer, text: str = "text") -> DataFrame:
+    """``score`` and ``with_virality`` in one: the text's adjustments count only where the scorer did not fail."""
+    scored = score(df, scorer).withColumn("_text", F.when(F.col("failed"), "").otherwise(F.col(text)))
+    return with_virality(scored, "_text").drop("_text")
 
 
 def assign_variant(df: DataFrame, arms: DataFrame, id_column: str = "clip_id") -> DataFrame:

@@ -140,6 +140,15 @@ def virality_score(spark, sf):
     return out.select("clip_id", "adjusted.*", "virality_score")
 
 
+@query("custom_scorer", with_views("SELECT clip_id, shares > likes AS failed, CASE WHEN shares > likes THEN virality_score ELSE round(0e0 + "
+                                   + " + ".join(f"r.{f} * {w}e0" for f, w in lx.WEIGHTS_A.items()) + ", 2) END AS virality_score FROM clips JOIN ruled r USING (clip_id)",
+                                   "clips", ruled=RULED))
+def custom_scorer(spark, sf):
+    """A scorer of the user's own, which fails for clips with more shares than likes."""
+    own = lambda df: df.withColumn("detailed_scores", F.when(F.col("shares") <= F.col("likes"), F.col("detailed_scores")))
+    return scorer.score_candidates(inputs.clips(spark, sf), own).select("clip_id", "failed", "virality_score")
+
+
 @query("assign_variant", with_views("""SELECT clip_id, variant_id, variant_id AS scoring_version, 'prompt_v1' AS prompt_version,
     CASE variant_id WHEN 'A' THEN 'weight_v1_baseline' ELSE 'weight_v2_high_hook' END AS weight_version FROM clips""", "clips"))
 def assign_variant(spark, sf):

@@ -12,7 +12,7 @@ from sparkreel.plans.registry import query
 from sparkreel.plans.subtitle_queries import CHUNKS, EVENTS, VIEWS_BREAK, _chunks
 from sparkreel.plans.views import BLANKS, factor_of, with_views
 from sparkreel.session import new_folder
-from sparkreel.sources import clips as clip_source, logs, responses, stages, transcripts
+from sparkreel.sources import clips as clip_source, logs, markdown, responses, stages, transcripts
 
 
 def _files(spark, sf, body):
@@ -140,3 +140,12 @@ def read_ass_events(spark, sf):
     parsed = logs.parse_ass_events(shown.select("clip_id", "chunk", "dialogue"), "dialogue")
     return parsed.select("clip_id", F.col("chunk").cast("int").alias("chunk"), F.round("start", 2).alias("start"),
                          F.replace("text", F.lit("\\N"), F.lit(" ")).alias("text"), "highlight")
+
+
+@query("clip_report", with_views("""SELECT '| ' || clip_id || ' | ' || video_id || ' | ' || printf('%.4f', virality_score) || ' | ' || views || ' | '
+    || CASE WHEN published THEN 'true' ELSE 'false' END || ' | ' || coalesce(experiment_id, '') || ' |' AS line FROM clips""", "clips"))
+def clip_report(spark, sf):
+    """The clip table as a Markdown report, written as text and read back."""
+    folder = new_folder(spark, "report")
+    markdown.write_report(inputs.clips(spark, sf).select("clip_id", "video_id", "virality_score", "views", "published", "experiment_id"), folder)
+    return markdown.read_report(spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _cell(name: str, kind: str) -> Column:
@@ -20,6 +20,17 @@ def markdown_head(df: DataFrame) -> str:
     return "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
 
 
+def write_report(df: DataFrame, folder: str) -> None:
+    """A whole report as text files: ``head`` and, in the order of ``df``, ``rows``, written by as many tasks as it has partitions."""
+    df.sparkSession.createDataFrame([(line,) for line in markdown_head(df).split("\n")], "line string").coalesce(1).write.mode("overwrite").text(f"{folder}/head")
+    markdown_lines(df).write.mode("overwrite").text(f"{folder}/rows")
+
+
+def read_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a written report: (line)."""
+    return spark.read.text(f"{folder}/rows").withColumnRenamed("value", "line")
+
+
 def markdown_table(df: DataFrame, rows: int = 1000) -> str:
     """The first ``rows`` rows of a report as a Markdown table, for showing; the whole report is written by ``markdown_lines``."""
     return "\n".join([markdown_head(df), *[r.line for r in markdown_lines(df).take(rows)]])

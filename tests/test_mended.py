@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.operators import joins, statistics
 from sparkreel.operators import subtitles as sb
+from sparkreel.operators import scorer
 from sparkreel.sources import logs, markdown
 from sparkreel.streaming import feeds
 
@@ -33,6 +34,23 @@ def test_a_job_of_very_many_clips_goes_round_its_tracks(spark):
     assert got.selectExpr("CAST(substr(track, 6) AS INT) = CAST(clip_id AS INT) % 6 AS ok").where("NOT ok").count() == 0
 
 
+def test_a_failed_scorer_leaves_the_title_and_no_text(spark):
+    rows = [(1, "Why cats win", "So the secret battle. 5 percent"), (2, "Why cats win", "So the secret battle. 5 percent"), (3, None, "never")]
+    df = spark.createDataFrame(rows, "clip_id int, title string, text string")
+    own = lambda d: scorer.title_scorer(d).withColumn("detailed_scores", F.when(F.col("clip_id") == 1, F.col("detailed_scores")))
+    got = {r.clip_id: r for r in scorer.score_candidates(df, own).collect()}
+    assert [got[k].failed for k in (1, 2, 3)] == [False, True, True]
+    assert got[1].detailed_scores == got[2].detailed_scores and got[1].virality_score != got[2].virality_score
+    assert got[3].detailed_scores == scorer.title_scorer(spark.createDataFrame([("Fallback",)], "title string")).first().detailed_scores
+
+
+def test_a_report_is_written_as_text(spark, tmp_path):
+    df = spark.range(5).selectExpr("id", "id / 2D AS half").repartition(2)
+    markdown.write_report(df, str(tmp_path))
+    assert sorted(r.line for r in markdown.read_report(spark, str(tmp_path)).collect()) == [f"| {k} | {k / 2:.4f} |" for k in range(5)]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/head").collect()] == ["| id | half |", "| --- | --- |"]
+
+
 def test_clip_of_unknown_arm_stays(spark):
     clips = spark.createDataFrame([(1, "A", {"hook": 2.0}), (2, "Z", {"hook": 2.0}), (3, None, {})], "clip_id int, variant_id string, detailed_scores map<string,double>")
     arms = spark.createDataFrame([("A", {"hook": 0.5})], "variant_id string, weights map<string,double>")
