@@ -134,13 +134,15 @@ def _rarest(counts: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("items")
-            digests, shingles = [], []
+            digests, shingles, places = [], [], []
             for digest, items in zip(batch.column("digest").to_pylist(), column, strict=True):
                 own = items.values.to_numpy(zero_copy_only=False)
                 n = len(own) - -(-percent * len(own) // 100) + 1
                 shingles.append(own[np.lexsort((own, counts[_slot(own.view(np.uint64))]))[:n]])
                 digests.extend([digest] * n)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(shingles))], ["digest", "shingle"])
+                places.append(np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places), pa.int64())],
+                                             ["digest", "shingle", "place"])
     return run
 
 
@@ -270,7 +272,7 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     opened = now.join(shared_out, "key").select("digest").distinct()
     strays = outside(now).select("digest").distinct()
     roots = cut_lineage(now.select("digest", "root").distinct())
-    rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint"))
+    rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint, place bigint"))
     # A group is met only if the size and the first slots of the signature of one of its texts that hold the shingle allow a link; they
     # ride along with its shingles. Of groups of many texts only the range of sizes does.
     own = strays.join(roots, "digest").join(brief, "digest").select(
@@ -279,14 +281,17 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     facts = roots.join(sizes, "root").join(brief, "digest").select("digest", "root", "size", "n", "brief")
     marks = rare.join(facts, "digest").groupBy("root", "shingle").agg(
-        F.first("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.first(F.when(F.col("size") == 1, F.col("brief"))).alias("brief"),
+        F.first("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") * 100 - F.col("place") * (100 + percent)).alias("reach"), F.first(F.when(F.col("size") == 1, F.col("brief"))).alias("brief"),
         F.collect_list(F.when(F.col("size").between(2, FEW), F.struct("n", "brief"))).alias("texts"))
 
     def alike(n: Column, of: Column) -> Column:
         close = F.least("own_n", n) * 100 >= F.greatest("own_n", n) * percent
         return close & (_agreeing(F.col("own_brief"), of, SHORT) >= AGREE_SHORT)
 
-    in_range = (F.col("own_n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("own_n") * percent)
+    # Two linked sets share nothing before their first common shingle, and percent / (100 + percent) of both sizes from there on, so
+    # there it can't stand late in either.
+    in_range = ((F.col("own_n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("own_n") * percent)
+                & (F.col("own_n") * 100 - F.col("place") * (100 + percent) >= F.col("low") * percent) & (F.col("reach") >= F.col("own_n") * percent))
     allowed = in_range & F.when(F.col("size") == 1, alike(F.col("low"), F.col("brief"))).when(
         F.col("size") <= FEW, F.exists("texts", lambda t: alike(t["n"], t["brief"]))).otherwise(True)
     met = kept.join(marks.withColumnRenamed("shingle", "mark"), (F.col("shingle") == F.col("mark")) & (F.col("root") != F.col("own_root")) & allowed)
