@@ -25,7 +25,8 @@ LONGS = (LONG + 1) // 16
 LEVEL = np.uint64(32)
 #: Further rounds of comparisons with a central member.
 ROUNDS = 1
-BLOCK = 256
+#: Shingles of a block of texts whose sets are compared with those of another block in one go.
+BLOCK = 1 << 18
 #: Texts of a group that are looked at one by one before their whole sets are.
 FEW = 16
 RANK_BITS = 20
@@ -278,7 +279,7 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     own = strays.join(roots, "digest").join(brief, "digest").select(
         F.col("digest").alias("stray"), F.col("root").alias("own_root"), F.col("n").alias("own_n"), F.col("brief").alias("own_brief"))
     kept = rare.join(own, F.col("digest") == F.col("stray")).drop("digest")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = cut_lineage(roots.join(brief.select("digest", "n"), "digest").groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total")))
     facts = roots.join(sizes, "root").join(brief, "digest").select("digest", "root", "size", "n", "brief")
     marks = rare.join(facts, "digest").groupBy("root", "shingle").agg(
         F.first("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") * 100 - F.col("place") * (100 + percent)).alias("reach"), F.first(F.when(F.col("size") == 1, F.col("brief"))).alias("brief"),
@@ -298,14 +299,14 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     # Before whole sets are sent, the long signatures of single texts are compared.
     single = roots.join(sizes.filter("size = 1"), "root").join(packs, "digest").select("root", F.col("packed").alias("root_packed"))
     met = met.select("stray", "root", "size").distinct().join(single, "root", "left").join(packs.withColumnRenamed("digest", "stray"), "stray")
-    met = cut_lineage(met.filter((F.col("size") > 1) | (_agreeing(F.col("packed"), F.col("root_packed")) >= AGREE)).select("stray", "root", "size"))
+    met = cut_lineage(met.filter((F.col("size") > 1) | (_agreeing(F.col("packed"), F.col("root_packed")) >= AGREE)).select("stray", "root", "n"))
 
-    counts = met.groupBy("root").agg(F.count("*").alias("strays"), F.first("size").alias("size"))
+    counts = met.groupBy("root").agg(F.sum("n").alias("strays")).join(sizes.select("root", "total"), "root")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda name, n: F.pmod(F.xxhash64(name), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    left = met.select("root", "stray").join(counts, "root").select(F.col("stray").alias("digest"), "root", F.lit(True).alias("stray"), own("stray", "strays").alias("i"), every("size").alias("j"))
-    right = roots.join(counts, "root").select("digest", "root", F.lit(False).alias("stray"), every("strays").alias("i"), own("digest", "size").alias("j"))
+    left = met.select("root", "stray").join(counts, "root").select(F.col("stray").alias("digest"), "root", F.lit(True).alias("stray"), own("stray", "strays").alias("i"), every("total").alias("j"))
+    right = roots.join(counts, "root").select("digest", "root", F.lit(False).alias("stray"), every("strays").alias("i"), own("digest", "total").alias("j"))
     task = F.xxhash64("root", "i", "j").alias("task")
     meetings = left.union(right).select("digest", "root", "stray", task).join(sets.select("digest", "items"), "digest")
     found = meetings.repartition("task", "root").sortWithinPartitions("task", "root").mapInArrow(_compared(percent), "a binary, b binary")
