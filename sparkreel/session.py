@@ -55,7 +55,21 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written rows.
+
+    Nothing reads the shuffles of the step again once its rows are written, so their files go at once instead of with the next
+    collection of garbage.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        # A new frame, as a frame keeps the setting it was made under.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
