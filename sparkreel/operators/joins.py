@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sparkreel import lexicon as lx
 from sparkreel.functions import text as tx
 from sparkreel.operators import similarity as sim
+from sparkreel.operators.ordered import filled_neighbours, running_total
 
 LINE_BLOCK = 16
 TIME_TILE = 64.0
@@ -48,37 +49,32 @@ def context_window(clips: DataFrame, lines: DataFrame, radius: int = 8) -> DataF
                          F.array_join(F.transform("lines", lambda c: c["text"]), "\n").alias("context"))
 
 
-def _nearest(times: DataFrame, points: DataFrame, at: str, out: str) -> DataFrame:
-    """``times`` with the idx of the point nearest to ``at``; ties go to the lowest idx.
+def _nearest(times: DataFrame, points: DataFrame, at: str, out: str, asked: DataFrame | None = None) -> DataFrame:
+    """``times`` with the idx of the point nearest to ``at``; ties go to the lowest idx, a NULL time gets NULL.
 
-    Points are grouped by time tile; every tile of the video's range also knows the last point before
-    and the first point after it, so a time needs exactly one tile, empty or not.
+    Points are grouped by time tile. Only tiles that hold a point or are asked for exist; each also knows the last point before and the
+    first point after it, so a time needs exactly one tile. Times of videos without points drop out. ``asked`` names a table with the
+    same tiles as ``times`` that is cheaper to read.
     """
-    unique = points.groupBy("video_id", "t").agg(F.min("idx").alias("idx")).withColumn("tile", F.floor(F.col("t") / TIME_TILE))
-    filled = unique.groupBy("video_id", "tile").agg(
-        F.collect_list(F.struct("t", "idx")).alias("pts"), F.min(F.struct("t", "idx")).alias("first"), F.max(F.struct("t", "idx")).alias("last"))
-    bounds = filled.groupBy("video_id").agg(F.min("tile").alias("low"), F.max("tile").alias("high"))
-    spine = bounds.select("video_id", F.explode(F.sequence("low", "high")).alias("tile"))
-    by_tile = Window.partitionBy("video_id").orderBy("tile")
-    # Both neighbours are running values, one in each direction; the points themselves are joined to the tiles afterwards.
-    falling = Window.partitionBy("video_id").orderBy(F.desc("tile"))
-    edges = spine.join(filled.drop("pts"), ["video_id", "tile"], "left").select(
-        "video_id", "tile", F.last("last", True).over(by_tile.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.last("first", True).over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
-    tiles = edges.join(filled.select("video_id", "tile", "pts"), ["video_id", "tile"], "left")
-    near = F.array_compact(F.concat(F.coalesce("pts", F.array()), F.array("before", "after")))
-    tiles = tiles.select("video_id", "tile", near.alias("near"))
-    placed = times.join(bounds, "video_id").withColumn(
-        "tile", F.greatest(F.col("low"), F.least(F.col("high"), F.floor(F.col(at) / TIME_TILE)))).drop("low", "high")
+    tile = F.coalesce(F.floor(F.col(at) / TIME_TILE), F.lit(0).cast("bigint"))
+    unique = points.groupBy("video_id", "t").agg(F.min("idx").alias("idx"))
+    point = F.struct("t", "idx")
+    cells = unique.select("video_id", F.floor(F.col("t") / TIME_TILE).alias("tile"), point.alias("p")).unionByName(
+        (times if asked is None else asked).select("video_id", tile.alias("tile")).distinct(), allowMissingColumns=True)
+    filled = cells.groupBy("video_id", "tile").agg(F.collect_list("p").alias("pts"), F.min("p").alias("first"), F.max("p").alias("last"))
+    edges = filled_neighbours(filled.drop("pts"), ["video_id"], "tile")
+    near = F.array_compact(F.concat("pts", F.array("before", "after")))
+    tiles = filled.select("video_id", "tile", "pts").join(edges, ["video_id", "tile"]).select("video_id", "tile", near.alias("near")).where("size(near) > 0")
     best = F.array_min(F.transform("near", lambda p: F.struct(F.abs(p["t"] - F.col(at)).alias("d"), p["idx"].alias("i"))))
-    return placed.join(tiles, ["video_id", "tile"]).withColumn(out, best["i"]).drop("tile", "near")
+    return times.withColumn("tile", tile).join(tiles, ["video_id", "tile"]).withColumn(
+        out, F.when(F.col(at).isNotNull(), best["i"])).drop("tile", "near")
 
 
 def nearest_line(times: DataFrame, lines: DataFrame) -> DataFrame:
     """Start and end times to the lines whose start and end are nearest."""
     starts = lines.select("video_id", F.col("start").alias("t"), F.col("line_idx").alias("idx"))
     ends = lines.select("video_id", (F.col("start") + F.col("duration")).alias("t"), F.col("line_idx").alias("idx"))
-    return _nearest(_nearest(times, starts, "start_time", "start_index"), ends, "end_time", "end_index")
+    return _nearest(_nearest(times, starts, "start_time", "start_index"), ends, "end_time", "end_index", times)
 
 
 def words_in_clip(clips: DataFrame, words: DataFrame) -> DataFrame:
@@ -166,14 +162,19 @@ def match_channel(videos: DataFrame, clips: DataFrame, threshold: float = 0.6, t
     return by_id.unionByName(by_title).groupBy("id").agg(F.min_by(F.struct("clip_id", "matched_by"), order).alias("m")).select("id", "m.*")
 
 
-def published_with_snapshots(clips: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Published clips with their snapshots nested per day in time order.
+def published_with_snapshots(clips: DataFrame, snapshots: DataFrame, rows: int = 1000) -> DataFrame:
+    """Published clips with their snapshots nested per day in time order, at most ``rows`` of them in a page.
 
-    One page per clip and day keeps a clip with very many snapshots from becoming one huge row.
+    ``page`` counts a clip's pages of a day from 0, so that neither a clip nor a day with very many snapshots becomes one huge row.
+    Clips without snapshots have one row of NULLs. Snapshots of one time are ordered by event_id.
     """
-    day = F.to_date("snapshot_time")
     live = clips.where("published").select("clip_id")
-    pages = snapshots.join(live, "clip_id", "left_semi").groupBy("clip_id", day.alias("day")).agg(
+    day, minute, order = F.to_date("snapshot_time"), F.date_trunc("minute", "snapshot_time"), ["snapshot_time", "event_id"]
+    own = snapshots.join(live, "clip_id", "left_semi").withColumn("day", day)
+    # Hours, minutes and seconds of a day narrow the rows that one task has to order.
+    levels = [F.date_trunc("hour", "snapshot_time"), minute, F.date_trunc("second", "snapshot_time")]
+    placed = running_total(own, ["clip_id", "day"], levels, order, F.lit(1), "place")
+    pages = placed.groupBy("clip_id", "day", F.floor((F.col("place") - 1) / rows).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("snapshot_time", "event_id", "views", "watch_time"))).alias("snapshots"))
     return clips.where("published").join(pages, "clip_id", "left")
 

@@ -58,6 +58,27 @@ def running_total(df: DataFrame, keys: list[str], levels: list[Column], order: l
         name, F.col("_within") + F.col("_offset")).drop(*marks, "_value", "_within", "_offset")
 
 
+def filled_neighbours(cells: DataFrame, keys: list[str], at: str, fan: int = 1024, depth: int = 2) -> DataFrame:
+    """(keys, at, before, after): ``last`` of the nearest earlier cell that has one and ``first`` of the nearest later one.
+
+    ``cells(keys, at, first, last)``, one row per whole number ``at``; cells of NULLs are empty. Values are carried among ``fan`` neighbours,
+    then among blocks of ``fan`` cells, and so on: a task orders the cells of one block, and across a key only one row per
+    ``fan ** depth`` numbers is ordered.
+    """
+    block = F.floor(F.col(at) / fan)
+    above = f"_above_{at}"
+    group = [*keys, above] if depth else keys
+    rows = cells.withColumn(above, block) if depth else cells
+    earlier = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*group).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select(*group, at, F.last("last", True).over(earlier).alias("before"), F.last("first", True).over(later).alias("after"))
+    if not depth:
+        return out
+    blocks = rows.groupBy(*group).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    beyond = filled_neighbours(blocks, keys, above, fan, depth - 1).withColumnsRenamed({"before": "_before", "after": "_after"})
+    return out.join(beyond, group).select(*keys, at, F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"))
+
+
 def spoken_durations(lines: DataFrame, block_lines: int = 4096) -> DataFrame:
     """Seconds a line is spoken: up to the next line's start, its own length where that is under 0.5."""
     # line_idx is dense, so the next line of a block's last line is the first of the next block.

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkreel import lexicon as lx
 from sparkreel.functions import sanitize
 from sparkreel.operators.ordered import longest_run, with_neighbours
 
 
+def _positions() -> Column:
+    """Crop positions from a sample's frame up to before its ``next`` one."""
+    def at(f: Column) -> Column:
+        share = F.coalesce((f - F.col("frame")) / (F.col("next.frame") - F.col("frame")), F.lit(0.0))
+        return F.floor(F.col("crop_x") * (1 - share) + F.coalesce("next.crop_x", "crop_x") * share)
+    return F.transform(F.sequence(F.col("frame"), F.coalesce(F.col("next.frame") - 1, F.col("frame"))), at)
+
+
+def _frozen(state: str) -> Column:
+    return F.contains(F.coalesce(state, F.lit("")), F.lit("FREEZE"))
+
+
 def interpolate(samples: DataFrame, block: int = 1024) -> DataFrame:
     """Whole-pixel crop position of every frame between a clip's sampled frames, linear between neighbours.
 
@@ -16,11 +28,8 @@ def interpolate(samples: DataFrame, block: int = 1024) -> DataFrame:
     """
     near = with_neighbours(samples.select("clip_id", "frame", "crop_x"), ["clip_id"], F.floor(F.col("frame") / block), ["frame"],
                            ["frame", "crop_x"], previous=None)
-    last = F.coalesce(F.col("next.frame") - 1, F.col("frame"))
-    every = near.withColumn("f", F.explode(F.sequence(F.col("frame"), last)))
-    share = F.coalesce((F.col("f") - F.col("frame")) / (F.col("next.frame") - F.col("frame")), F.lit(0.0))
-    between = F.col("crop_x") * (1 - share) + F.coalesce("next.crop_x", "crop_x") * share
-    return every.select("clip_id", F.col("f").alias("frame"), F.floor(between).alias("crop_x"))
+    every = near.select("clip_id", "frame", F.posexplode(_positions()).alias("step", "crop_x"))
+    return every.select("clip_id", (F.col("frame") + F.col("step")).alias("frame"), "crop_x")
 
 
 def movement(frames: DataFrame, block: int = 1024) -> DataFrame:
@@ -34,22 +43,27 @@ def movement(frames: DataFrame, block: int = 1024) -> DataFrame:
 def freeze_events(samples: DataFrame, block: int = 1024) -> DataFrame:
     """Per clip how often the camera state turns into a freeze."""
     near = with_neighbours(samples, ["clip_id"], F.floor(F.col("frame") / block), ["frame"], ["state"], following=None)
-    frozen = lambda c: F.contains(F.coalesce(c, F.lit("")), F.lit("FREEZE"))
-    return near.groupBy("clip_id").agg(F.count_if(frozen(F.col("state")) & ~frozen(F.col("prev.state"))).alias("freeze_events"))
+    return near.groupBy("clip_id").agg(F.count_if(_frozen("state") & ~_frozen("prev.state")).alias("freeze_events"))
 
 
-def camera_qa(samples: DataFrame, stride: int = 3, bypass: bool = False) -> DataFrame:
-    """Camera quality per clip from frame telemetry.
+def camera_qa(samples: DataFrame, stride: int = 3, bypass: bool = False, block: int = 1024) -> DataFrame:
+    """Camera quality per clip from frame telemetry, in two passes: one over neighbouring samples, one for the longest run.
 
     Needs (clip_id, frame, has_face, active, face_cx, crop_x, crop_w, state, switched); frames are
     multiples of ``stride``.
     """
     inside = F.col("face_cx").between(F.col("crop_x") - 15, F.col("crop_x") + F.col("crop_w") + 15)
-    base = samples.groupBy("clip_id").agg(
-        F.count_if("active").alias("active"), F.count_if(F.col("active") & inside).alias("inside"), F.count_if("switched").alias("track_switches"))
+    near = with_neighbours(samples.select("clip_id", "frame", "crop_x", "state", "active", "switched", inside.alias("inside")), ["clip_id"],
+                           F.floor(F.col("frame") / block), ["frame"], ["frame", "crop_x", "state"])
+    # The camera's way from a sampled frame to the next one, frame by frame.
+    way = F.concat(_positions(), F.when(F.col("next").isNotNull(), F.array(F.floor("next.crop_x"))).otherwise(F.array().cast("array<bigint>")))
+    steps = F.zip_with(F.slice(way, F.lit(1), F.size(way) - 1), F.slice(way, F.lit(2), F.size(way)), lambda a, b: F.abs(b - a))
+    base = near.groupBy("clip_id").agg(
+        F.count_if("active").alias("active"), F.count_if(F.col("active") & F.col("inside")).alias("inside"), F.count_if("switched").alias("track_switches"),
+        F.count_if(_frozen("state") & ~_frozen("prev.state")).alias("freeze_events"),
+        (F.sum(F.aggregate(steps, F.lit(0).cast("bigint"), lambda t, x: t + x)) / F.sum(F.size(_positions()))).alias("avg_movement"))
     positions = samples.withColumn("frame", (F.col("frame") / stride).cast("bigint"))
-    parts = (base.join(freeze_events(samples), "clip_id").join(movement(interpolate(samples)), "clip_id")
-             .join(longest_run(positions, ~F.col("has_face")), "clip_id"))
+    parts = base.join(longest_run(positions, ~F.col("has_face")), "clip_id")
     visible = F.when(F.col("active") > 0, F.col("inside") / F.col("active") * 100).otherwise(100.0)
     lost = F.col("longest_run") * stride
     passed = (visible >= 90.0) & (F.col("track_switches") <= 5) & (F.col("avg_movement") <= 12.0) & (lost <= 240)

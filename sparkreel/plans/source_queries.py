@@ -93,9 +93,11 @@ def _replies(spark, sf):
     CASE WHEN n <> 3 THEN 9 END AS end_index, CASE WHEN n <> 3 THEN virality_score END AS virality_score FROM (
       SELECT *, length(t) % 5 AS n FROM (SELECT *, regexp_replace(title, '[\\\\"\\p{Cc}]', ' ', 'g') AS t FROM clips))""", "clips"))
 def read_responses(spark, sf):
-    good, bad = responses.read_responses(_replies(spark, sf))
-    clips = responses.extract_list(good, "clip_id").select("clip_id", F.lit(False).alias("quarantined"), "title", "start_index", "end_index", "virality_score")
-    return clips.unionByName(bad.select("clip_id", F.lit(True).alias("quarantined")), allowMissingColumns=True)
+    # One row per clip of a reply that parses, one without a clip for each other reply.
+    flagged = responses.flag_responses(_replies(spark, sf))
+    cell = F.explode_outer(F.when(F.col("quarantined"), F.lit(None)).otherwise(responses.listed_clips(F.col("json"))))
+    return flagged.select("clip_id", "quarantined", cell.alias("c")).where("quarantined OR c IS NOT NULL").select(
+        "clip_id", "quarantined", "c.title", "c.start_index", "c.end_index", "c.virality_score")
 
 
 @query("extract_list", with_views("""SELECT clip_id, ord, title || ord AS title FROM clips, (SELECT unnest([0, 1]) AS ord) WHERE variant_id = 'A' OR ord = 0""", "clips"))

@@ -208,13 +208,14 @@ def snapshots_of(spark, sf):
     return lookup(inputs.snapshots(spark, sf), wanted).select("clip_id", "event_id", "views", "watch_time")
 
 
-@query("published_with_snapshots", with_views("""SELECT clip_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS series
-    FROM (SELECT clip_id, snapshot_time AS ts, event_id FROM snapshots) JOIN (SELECT clip_id FROM clips WHERE published) USING (clip_id) GROUP BY ALL
-    UNION ALL SELECT clip_id, NULL, 0, NULL FROM clips WHERE published AND clip_id NOT IN (SELECT clip_id FROM snapshots)""", "clips", "snapshots"))
+@query("published_with_snapshots", with_views("""SELECT clip_id, day, page, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS series
+    FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day, (row_number() OVER (PARTITION BY clip_id, ts::DATE ORDER BY ts, event_id) - 1) // 1000 AS page
+          FROM (SELECT clip_id, snapshot_time AS ts, event_id FROM snapshots)) JOIN (SELECT clip_id FROM clips WHERE published) USING (clip_id) GROUP BY ALL
+    UNION ALL SELECT clip_id, NULL, NULL, 0, NULL FROM clips WHERE published AND clip_id NOT IN (SELECT clip_id FROM snapshots)""", "clips", "snapshots"))
 def published_with_snapshots(spark, sf):
     out = joins.published_with_snapshots(inputs.clips(spark, sf).select("clip_id", "published"), inputs.snapshots(spark, sf))
     series = F.array_join(F.transform("snapshots", lambda s: s["event_id"].cast("string")), ",")
-    return out.select("clip_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce(F.size("snapshots"), F.lit(0)).cast("bigint").alias("n"), series.alias("series"))
+    return out.select("clip_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "page", F.coalesce(F.size("snapshots"), F.lit(0)).cast("bigint").alias("n"), series.alias("series"))
 
 
 # Music library: parts are tracks, the type is the folder; small sizes lie in "default".

@@ -60,25 +60,34 @@ def mend_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 mend_once = mend_batches.asNondeterministic()
 
 
-def read_responses(replies: DataFrame, reply: str = "response") -> tuple[DataFrame, DataFrame]:
-    """(parsed with a ``json`` text column, quarantined).
+def flag_responses(replies: DataFrame, reply: str = "response") -> DataFrame:
+    """``replies`` with a ``json`` text column and a flag ``quarantined``, in one pass over them.
 
-    Replies that parse after cutting never leave the JVM; only the broken ones go through the repair.
+    Only the replies that don't parse after cutting are sent to the repair, the others send it a NULL. What does not parse even then
+    keeps its repaired text as ``json`` and is flagged; a NULL reply is flagged too.
     """
-    found = replies.withColumn("json", find_json(F.col(reply)))
-    fits = F.try_parse_json("json").isNotNull()
-    good, broken = found.where(fits), found.where(~fits)
-    mended = broken.withColumn("json", mend_once("json"))
-    return good.unionByName(mended.where(fits)), mended.where(~fits)
+    found = replies.withColumn("_found", find_json(F.col(reply)))
+    parses = lambda c: F.try_parse_json(c).isNotNull()
+    mended = found.withColumn("_mended", mend_once(F.when(~parses("_found"), F.col("_found"))))
+    return mended.withColumn("json", F.coalesce("_mended", "_found")).withColumn("quarantined", ~F.coalesce(parses("json"), F.lit(False))).drop("_found", "_mended")
 
 
-def extract_list(parsed: DataFrame, key: str, element: str = CLIP) -> DataFrame:
-    """One row per clip of the parsed JSON: a top-level list, the list under ``clips``, else the first list."""
-    doc = F.col("json")
+def read_responses(replies: DataFrame, reply: str = "response") -> tuple[DataFrame, DataFrame]:
+    """(parsed with a ``json`` text column, quarantined). Where both are used, split ``flag_responses`` at the sink instead."""
+    flagged = flag_responses(replies, reply)
+    return flagged.where("NOT quarantined").drop("quarantined"), flagged.where("quarantined").drop("quarantined")
+
+
+def listed_clips(doc: Column, element: str = CLIP) -> Column:
+    """The clips of a JSON text as an array: a top-level list, the list under ``clips``, else the first list."""
     whole = F.from_json(F.when(F.startswith(F.ltrim(doc), F.lit("[")), doc), f"array<{element}>")
     named = F.from_json(F.get_json_object(doc, "$.clips"), f"array<{element}>")
     keys = F.json_object_keys(F.when(F.startswith(F.ltrim(doc), F.lit("{")), doc))
     values = F.from_json(F.when(F.startswith(F.ltrim(doc), F.lit("{")), doc), "map<string,string>")
     first = F.get(F.filter(F.transform(keys, lambda k: F.try_element_at(values, k)), lambda v: F.startswith(v, F.lit("["))), F.lit(0))
-    listed = F.coalesce(whole, named, F.from_json(first, f"array<{element}>"))
-    return parsed.select(key, F.posexplode(listed).alias("ord", "c")).select(key, "ord", "c.*")
+    return F.coalesce(whole, named, F.from_json(first, f"array<{element}>"))
+
+
+def extract_list(parsed: DataFrame, key: str, element: str = CLIP) -> DataFrame:
+    """One row per clip of the parsed JSON column ``json``, see ``listed_clips``."""
+    return parsed.select(key, F.posexplode(listed_clips(F.col("json"), element)).alias("ord", "c")).select(key, "ord", "c.*")

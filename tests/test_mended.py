@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from sparkreel.operators import joins, statistics
+from sparkreel.operators import joins, ordered, reports, statistics
 from sparkreel.operators import subtitles as sb
 from sparkreel.operators import scorer
-from sparkreel.sources import logs, markdown
+from sparkreel.sources import logs, markdown, responses
 from sparkreel.streaming import feeds
 
 
@@ -88,3 +88,49 @@ def test_report_lines_have_no_limit(spark):
     report = spark.range(3000).selectExpr("id", "id / 3 AS share", "CAST(NULL AS string) AS note")
     assert markdown.markdown_lines(report).count() == 3000
     assert markdown.markdown_table(report, rows=2).splitlines() == ["| id | share | note |", "| --- | --- | --- |", "| 0 | 0.0000 |  |", "| 1 | 0.3333 |  |"]
+
+
+def test_nearest_line_far_away_and_without_lines(spark):
+    lines = spark.createDataFrame([("v", 0, 0.0), ("v", 1, 1e9), ("v", 2, 1e9 + 5)], "video_id string, idx int, t double")
+    asked = [("v", 4e8, 0), ("v", 6e8, 1), ("v", -500.0, 0), ("v", 2e9, 2), ("v", None, None), ("none", 1.0, None)]
+    times = spark.createDataFrame([(v, t) for v, t, _ in asked], "video_id string, at double")
+    got = sorted(((r.video_id, r.at, r.idx) for r in joins._nearest(times, lines, "at", "idx").collect()), key=str)
+    assert got == sorted((a for a in asked if a[0] == "v"), key=str)
+
+
+def test_filled_neighbours_over_blocks(spark):
+    filled = {at: at * 10 for at in range(-40, 200, 7)}
+    rows = [("k", at, filled.get(at), filled.get(at)) for at in range(-50, 210)]
+    cells = spark.createDataFrame(rows, "k string, at bigint, first bigint, last bigint")
+    for r in ordered.filled_neighbours(cells, ["k"], "at", fan=4).collect():
+        assert r.before == max((v for at, v in filled.items() if at < r["at"]), default=None)
+        assert r.after == min((v for at, v in filled.items() if at > r["at"]), default=None)
+
+
+def test_pages_of_a_day_with_many_snapshots(spark):
+    clips = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "clip_id string, published boolean")
+    snaps = spark.range(25).selectExpr("'a' AS clip_id", "timestamp'2024-05-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, id DIV 3) AS snapshot_time",
+                                       "id AS event_id", "id AS views", "1.0D AS watch_time")
+    got = {(r.clip_id, r.page): [s.event_id for s in r.snapshots or []] for r in joins.published_with_snapshots(clips, snaps, rows=10).collect()}
+    assert got == {("a", 0): list(range(10)), ("a", 1): list(range(10, 20)), ("a", 2): list(range(20, 25)), ("b", None): []}
+
+
+def test_replies_are_flagged_in_one_pass(spark):
+    replies = spark.createDataFrame([("ok", '[{"title": "A"}]'), ("cut", '[{"title": "B"'), ("no", "sorry"), ("null", None)], "id string, response string")
+    flagged = responses.flag_responses(replies)
+    assert {r.id: r.quarantined for r in flagged.collect()} == {"ok": False, "cut": False, "no": True, "null": True}
+    assert [r.title for r in responses.extract_list(flagged.where("NOT quarantined"), "id").orderBy("id").collect()] == ["B", "A"]
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mend_batches") == 1
+
+
+def test_camera_way_equals_interpolated_frames(spark):
+    rows = [("c", f, f % 2 == 0, True, 5, (f * 37) % 101, 50, "FREEZE" if f % 4 == 0 else "TRACK", f % 5 == 0) for f in range(0, 60, 3)]
+    rows.append(("one", 0, True, False, 5, 7, 50, "TRACK", False))
+    samples = spark.createDataFrame(rows, "clip_id string, frame bigint, has_face boolean, active boolean, face_cx bigint, crop_x bigint, crop_w bigint, state string, switched boolean")
+    want = {r.clip_id: round(r.avg_movement, 2) for r in reports.movement(reports.interpolate(samples)).collect()}
+    frozen = {r.clip_id: r.freeze_events for r in reports.freeze_events(samples).collect()}
+    for block in (4, 1024):
+        got = {r.clip_id: r for r in reports.camera_qa(samples, block=block).collect()}
+        assert {k: r.avg_movement_per_frame for k, r in got.items()} == want
+        assert {k: r.freeze_events for k, r in got.items()} == frozen
