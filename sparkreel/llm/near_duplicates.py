@@ -114,23 +114,27 @@ def _slot(items: np.ndarray) -> np.ndarray:
     return (mixed(items) >> np.uint64(64 - RANK_BITS)).astype(np.int64)
 
 
-def _slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall into each of 2 ** RANK_BITS slots; no more rows reach the driver, whatever the input."""
+def _slot_ranks(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each of 2 ** RANK_BITS slots are, in eighths of a doubling up to 2 ** 31.
+
+    That is a byte a slot, whatever the input; no more rows reach the driver, and no more bytes a task.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RANK_BITS, np.int64)
         for batch in batches:
             items = batch.column("items").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             total += np.bincount(_slot(items), minlength=len(total))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
 
-    rows = sets.select("items").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RANK_BITS, np.int64)
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    rank = (F.least(F.floor(F.log2(F.sum("n")) * 8), F.lit(255)) - 128).cast("tinyint")
+    rows = sets.select("items").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(rank.alias("rank")).toArrow()
+    out = np.zeros(1 << RANK_BITS, np.uint8)
+    out[rows.column("slot").to_numpy()] = rows.column("rank").to_numpy().astype(np.int16) + 128
     return out
 
 
-def _rarest(counts: np.ndarray, percent: int):
+def _rarest(ranks: np.ndarray, percent: int):
     """Each set's rarest shingles, as many that two sets linked must share one (prefix filter)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +143,7 @@ def _rarest(counts: np.ndarray, percent: int):
             for digest, items in zip(batch.column("digest").to_pylist(), column, strict=True):
                 own = items.values.to_numpy(zero_copy_only=False)
                 n = len(own) - -(-percent * len(own) // 100) + 1
-                shingles.append(own[np.lexsort((own, counts[_slot(own.view(np.uint64))]))[:n]])
+                shingles.append(own[np.lexsort((own, ranks[_slot(own.view(np.uint64))]))[:n]])
                 digests.extend([digest] * n)
                 places.append(np.arange(n))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places), pa.int64())],
@@ -273,7 +277,7 @@ def near_duplicates(transcripts: DataFrame, words: int = 5, percent: int = 80) -
     opened = now.join(shared_out, "key").select("digest").distinct()
     strays = outside(now).select("digest").distinct()
     roots = cut_lineage(now.select("digest", "root").distinct())
-    rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_counts(sets), percent), "digest binary, shingle bigint, place bigint"))
+    rare = cut_lineage(sets.join(opened, "digest", "left_semi").mapInArrow(_rarest(_slot_ranks(sets), percent), "digest binary, shingle bigint, place bigint"))
     # A group is met only if the size and the first slots of the signature of one of its texts that hold the shingle allow a link; they
     # ride along with its shingles. Of groups of many texts only the range of sizes does.
     own = strays.join(roots, "digest").join(brief, "digest").select(
