@@ -9,7 +9,8 @@ from sparkreel import lexicon as lx
 # The JVM's \w and \b are ASCII-only, so word characters are spelled out.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-BLANKS = r"[ \t\n\r\f\x0B]+"
+SPACE = r"[ \t\n\r\f\x0B]"
+BLANKS = f"{SPACE}+"
 
 
 def words_of(values: list[str]) -> Column:
@@ -141,8 +142,8 @@ def has_number(text: Column) -> Column:
 
 def is_hook(text: Column) -> Column:
     """A question, a standalone number, or a hook word."""
-    return F.contains(text, F.lit("?")) | has_number(text) | F.arrays_overlap(
-        word_runs(F.lower(text)), words_of(lx.HOOK_WORDS))
+    whole = "|".join([r"\p{Nd}+", *lx.HOOK_WORDS])
+    return F.lower(text).rlike(rf"[?]|(?<!{WORD})(?:{whole})(?!{WORD})")
 
 
 def first_word(text: Column) -> Column:
@@ -150,11 +151,16 @@ def first_word(text: Column) -> Column:
 
 
 def opens_cleanly(text: Column) -> Column:
-    return ~first_word(text).isin(lx.CONJUNCTIONS + lx.FILLERS)
+    """Whether the first word is neither a conjunction nor a filler."""
+    return ~F.lower(text).rlike(rf"\A{SPACE}*(?:{'|'.join([*lx.CONJUNCTIONS, *lx.FILLERS])})(?!{WORD})")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(rf"[^{SPACE[1:]}")
 
 
 def ends_sentence(text: Column) -> Column:
-    return strip(text).rlike(r"[.?!]\z")
+    return text.rlike(rf"[.?!]{SPACE}*\z")
 
 
 def headline(text: Column) -> Column:

@@ -7,17 +7,29 @@ ordered across the key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def with_neighbours(df: DataFrame, keys: list[str], block: Column, order: list[str], payload: list[str],
-                    previous: str | None = "prev", following: str | None = "next") -> DataFrame:
-    """Add the payload struct of the row before and after within the key (NULL at the ends)."""
+                    previous: str | None = "prev", following: str | None = "next",
+                    derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Add the payload struct of the row before and after within the key (NULL at the ends).
+
+    Both the rows and the first and last row of each block are read from ``df``. Where the payload is costly, ``derive`` adds it: once
+    to each row and to the ends of the blocks, instead of twice to each row.
+    """
     df = df.withColumn("_block", block)
     spec = Window.partitionBy(*keys, "_block").orderBy(*order)
     cells = F.struct(*payload)
     rank = F.struct(*order)
-    ends = df.groupBy(*keys, "_block").agg(F.min_by(cells, rank).alias("_first"), F.max_by(cells, rank).alias("_last"))
+    raw = F.struct(*[c for c in df.columns if c not in (*keys, "_block")]) if derive else cells
+    ends = df.groupBy(*keys, "_block").agg(F.min_by(raw, rank).alias("_first"), F.max_by(raw, rank).alias("_last"))
+    if derive:
+        for side, other in (("_first", "_last"), ("_last", "_first")):
+            ends = derive(ends.select(*keys, "_block", other, f"{side}.*")).select(*keys, "_block", other, cells.alias(side))
+        df = derive(df)
     across = Window.partitionBy(*keys).orderBy("_block")
     ends = ends.select(*keys, "_block", F.lag("_last").over(across).alias("_before"),
                        F.lead("_first").over(across).alias("_after"))

@@ -26,10 +26,13 @@ def video_stats(lines: DataFrame) -> DataFrame:
 def line_flags(lines: DataFrame) -> DataFrame:
     """Per line what boundary rules ask about it and about its predecessor."""
     text = F.col("text")
-    base = lines.select("video_id", F.col("line_idx").alias("idx"), "start", (F.col("start") + F.col("duration")).alias("end"),
-                        tx.is_hook(text).alias("hook"), (~tx.opens_cleanly(text)).alias("bad_start"),
-                        (tx.strip(text) == "").alias("blank"), tx.ends_sentence(text).alias("ends"))
-    near = with_neighbours(base, ["video_id"], F.floor(F.col("idx") / 4096), ["idx"], LINE[:-1])
+    base = lines.select("video_id", F.col("line_idx").alias("idx"), "start", (F.col("start") + F.col("duration")).alias("end"), "text")
+
+    def flagged(df: DataFrame) -> DataFrame:
+        return df.withColumns({"hook": tx.is_hook(text), "bad_start": ~tx.opens_cleanly(text), "blank": tx.is_blank(text),
+                               "ends": tx.ends_sentence(text)}).drop("text")
+
+    near = with_neighbours(base, ["video_id"], F.floor(F.col("idx") / 4096), ["idx"], LINE[:-1], derive=flagged)
     return near.withColumn("prev_ends", F.coalesce(F.col("prev.ends"), F.col("idx") == 0))
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from sparkreel import lexicon as lx
+from sparkreel.functions import text as tx
 from sparkreel.operators import joins, ordered, reports, statistics
 from sparkreel.operators import subtitles as sb
 from sparkreel.operators import scorer
@@ -134,3 +136,27 @@ def test_camera_way_equals_interpolated_frames(spark):
         got = {r.clip_id: r for r in reports.camera_qa(samples, block=block).collect()}
         assert {k: r.avg_movement_per_frame for k, r in got.items()} == want
         assert {k: r.freeze_events for k, r in got.items()} == frozen
+
+
+def test_line_flags_at_word_borders(spark):
+    """Flags by one pattern each equal the plain reading: whole words, any white space around, NULL for NULL."""
+    texts = ["", " \t\n", "2nd try", "in 7 days", "_one", "one_", "ONE.", "überone", "oné", "why", "so\nwe", " So, yes", "soon", "and́", "OK?  \n", "x. ",
+             "12", "a12 12b", "éand", "...and", "Well", "end! \t", "end!x", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    text = F.col("text")
+    got = df.select("i", tx.is_hook(text).alias("hook"), tx.opens_cleanly(text).alias("clean"), tx.is_blank(text).alias("blank"),
+                    tx.ends_sentence(text).alias("ends"))
+    plain = df.select("i", (F.contains(text, F.lit("?")) | tx.has_number(text) | F.arrays_overlap(
+        tx.word_runs(F.lower(text)), tx.words_of(lx.HOOK_WORDS))).alias("hook"),
+        (~tx.first_word(text).isin(lx.CONJUNCTIONS + lx.FILLERS)).alias("clean"), (tx.strip(text) == "").alias("blank"),
+        tx.strip(text).rlike(r"[.?!]\z").alias("ends"))
+    assert got.orderBy("i").collect() == plain.orderBy("i").collect()
+
+
+def test_derived_neighbours_equal_given_ones(spark):
+    rows = spark.range(40).selectExpr("id % 2 AS k", "id DIV 2 AS i", "repeat('x', int(id % 5)) AS t")
+    derive = lambda df: df.withColumn("n", F.length("t")).drop("t")
+    args = (["k"], F.floor(F.col("i") / 4), ["i"], ["i", "n"])
+    lazy = ordered.with_neighbours(rows, *args, derive=derive)
+    given = ordered.with_neighbours(derive(rows), *args)
+    assert sorted(lazy.collect()) == sorted(given.select(lazy.columns).collect())
