@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the transcripts that score as toxic. The texts ride along with their scores, so nothing is joined."""
     model = toxicity_model(spark, docs, sf_dir)
     packed = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("video_id"), F.col("text").alias("transcript"))
-    kept = toxicity.score_toxicity(packed, model).filter(F.col("score") < TOXIC)
+    kept = toxicity.score_toxicity(packed, model, fitted=True).filter(F.col("score") < TOXIC)
     return kept.select("video_id.*", F.col("transcript").alias("text")).select(DOCUMENT)
 
 

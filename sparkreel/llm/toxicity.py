@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkreel.llm.shingles import LOWER, mixed, span_hashes, text_buffer, text_slices, word_spans
+from sparkreel.session import cut_lineage
 
 #: A symbol is predicted from the up to five before it in its word.
 ORDER = 6
-#: Each table of counts has 2 ** BITS places, whatever the corpus: n-grams are hashed into them.
-BITS = 20
+#: So many of the commonest words are sent to all tasks with their ratios; the others are joined.
+COMMON = 1 << 20
 DISCOUNT = 0.75
 #: Lengths, in words, of the passages whose mean log-ratios are compared.
 PASSAGES = (1, 2, 4, 8, 16, 32)
@@ -27,13 +27,13 @@ OPEN, CLOSE = 1, 2
 
 
 def _unique_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Per word of the texts the number of its spelling; words before each text; the spellings."""
+    """Per word of the texts the number of its spelling; words before each text; the spellings; their hashes."""
     raw, offsets = text_buffer(column)
     hashes, starts, stops, before = word_spans(raw, offsets, APART)
-    _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    unique, example, which = np.unique(hashes, return_index=True, return_inverse=True)
     lower = LOWER[raw].tobytes()
     spellings = [lower[a:b] for a, b in zip(starts[example].tolist(), stops[example].tolist(), strict=True)]
-    return which, before, spellings, stops[example] - starts[example]
+    return which, before, spellings, unique.view(np.int64)
 
 
 def _grams(spellings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,18 +49,19 @@ def _grams(spellings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     keys, contexts = np.zeros((ORDER + 1, len(at)), np.uint64), np.zeros((ORDER + 1, len(at)), np.uint64)
     for n in range(1, ORDER + 1):
         start = np.maximum(at - n + 1, 0)
-        keys[n] = span_hashes(symbols, start, at + 1)
+        keys[n] = mixed(span_hashes(symbols, start, at + 1) + np.uint64(n))
         contexts[n] = mixed(span_hashes(symbols, start, at) + np.uint64(n))
-    return word, longest, keys, contexts
+    return word, longest, keys.view(np.int64), contexts.view(np.int64)
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, plain): how often each word stands in transcripts of either class."""
+    """(hash, word, n, toxic, plain): how often each word stands in all transcripts and in those labelled either way."""
     for batch in text_slices(batches, "transcript"):
-        which, before, spellings, _ = _unique_words(batch.column("transcript"))
-        toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False) == 1, np.diff(before))
-        counts = [np.bincount(which[own], minlength=len(spellings)) for own in (toxic, ~toxic)]
-        yield pa.RecordBatch.from_arrays([pa.array(spellings, pa.binary()), *map(pa.array, counts)], ["word", "toxic", "plain"])
+        which, before, spellings, hashes = _unique_words(batch.column("transcript"))
+        label = np.repeat(batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False), np.diff(before))
+        counts = [np.bincount(which[own], minlength=len(spellings)) for own in (slice(None), label == 1, label == 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(spellings, pa.binary()), *map(pa.array, counts)],
+                                         ["hash", "word", "n", "toxic", "plain"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,74 +73,121 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n in range(2, ORDER + 1):
             there = longest >= n
             top = (longest == n)[there]
-            arrays = [x[there].view(np.int64) for x in (keys[n], contexts[n], keys[n - 1], contexts[n - 1])]
+            arrays = [x[there] for x in (keys[n], contexts[n], keys[n - 1], contexts[n - 1])]
             yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), *[pa.array(np.where(top, w[there], 0)) for w in weights]],
                                              ["key", "context", "tail", "tail_context", "toxic", "plain"])
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams of words by place: the longest one (``top``, with the word's hash) and those it backs off to, once a batch."""
+    for batch in batches:
+        word, longest, keys, contexts = _grams(batch.column("word").to_pylist())
+        hashes = batch.column("hash").to_numpy(zero_copy_only=False)
+        for n in range(1, ORDER + 1):
+            for top in (True, False):
+                there = np.flatnonzero(longest == n if top else longest > n)
+                if not top:
+                    there = there[np.unique(keys[n][there], return_index=True)[1]]
+                arrays = [hashes[word[there]] if top else np.zeros(len(there), np.int64), keys[n][there], contexts[n][there], keys[n - 1][there]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(np.full(len(there), n, np.int32)), pa.array(np.full(len(there), top))],
+                                                 ["hash", "key", "context", "tail", "n", "top"])
 
 
 @dataclass
 class Model:
-    """Hashed counts by name, and the weights of the calibrated comparison."""
-    tables: dict[str, np.ndarray]
+    """Counts of n-grams by key, ratios of the words they were counted in, and the weights of the calibrated comparison.
+
+    ``grams(key, toxic, plain)`` and ``contexts(context, toxic_sum, plain_sum, toxic_kinds, plain_kinds)`` count the highest order by
+    class, ``tails(key, follow)`` and ``tail_contexts(context, follow_sum, follow_kinds)`` the continuations all lower orders rest on.
+    Keys are 64-bit fingerprints. ``ratios(hash, ratio, n)`` holds the words of the transcripts the model was fitted on; ``common``
+    are the hashes and ratios of the commonest, ``all_common`` says whether these are all.
+    """
+    grams: DataFrame
+    contexts: DataFrame
+    tails: DataFrame
+    tail_contexts: DataFrame
+    ratios: DataFrame | None = None
+    common: tuple[np.ndarray, np.ndarray] | None = None
+    all_common: bool = False
     means: np.ndarray | None = None
     spreads: np.ndarray | None = None
     weights: np.ndarray | None = None
 
-    def sent(self) -> dict:
-        """What tasks need, small enough to be broadcast: the tables are mostly zeros."""
-        return vars(self) | {"tables": {k: zlib.compress(v.tobytes(), 1) for k, v in self.tables.items()}}
-
-    @classmethod
-    def received(cls, parts: dict) -> Model:
-        return cls(**parts | {"tables": {k: np.frombuffer(zlib.decompress(v), np.float32) for k, v in parts["tables"].items()}})
-
-    def word_ratios(self, spellings: list[bytes]) -> np.ndarray:
-        """ln P(word | toxic) - ln P(word | ordinary) per symbol, for each spelling."""
-        t = self.tables
-        word, longest, keys, contexts = _grams(spellings)
-        shared = np.full(len(word), 1 / 256)
-        behind = shared
-        for n in range(1, ORDER):
-            seen = t["follow_sum"][_slot(contexts[n])]
-            better = (np.maximum(t["follow"][_slot(keys[n])] - DISCOUNT, 0) + DISCOUNT * t["follow_kinds"][_slot(contexts[n])] * shared) / np.maximum(seen, 1)
-            shared = np.where(seen > 0, better, shared)
-            # The longest n-gram at a place backs off to the one a symbol shorter.
-            behind = np.where(longest == n + 1, shared, behind)
-        rows = np.arange(len(word))
-        key, context = _slot(keys[longest, rows]), _slot(contexts[longest, rows])
-        logs = []
-        for kind in ("toxic", "plain"):
-            total = t[f"{kind}_sum"][context]
-            own = (np.maximum(t[kind][key] - DISCOUNT, 0) + DISCOUNT * t[f"{kind}_kinds"][context] * behind) / np.maximum(total, 1)
-            logs.append(np.log(np.where(total > 0, own, behind)))
-        return np.bincount(word, logs[0] - logs[1], minlength=len(spellings)) / np.maximum(np.bincount(word, minlength=len(spellings)), 1)
-
-    def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: the best passage of each length, the best words, the mean of all words, and the number of words (log)."""
-        which, before, spellings, _ = _unique_words(column)
-        ratios = self.word_ratios(spellings)[which] if spellings else np.zeros(0)
-        out = np.zeros((len(column), len(PASSAGES) + BEST_WORDS + 2))
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        for i, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
-            n = b - a
-            if n:
-                for k, size in enumerate(PASSAGES):
-                    size = min(size, n)
-                    out[i, k] = (sums[a + size:b + 1] - sums[a:b + 1 - size]).max() / size
-                best = np.partition(ratios[a:b], max(0, n - BEST_WORDS))[-BEST_WORDS:]
-                best = np.sort(best)[::-1]
-                out[i, len(PASSAGES):len(PASSAGES) + len(best)] = best
-                out[i, -2] = (sums[b] - sums[a]) / n
-                out[i, -1] = np.log1p(n)
-        return out
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        x = (self.features(column) - self.means) / self.spreads
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ self.weights, -30, 30)))
+
+def word_ratios(words: DataFrame, model: Model) -> DataFrame:
+    """(hash, ratio) of ``words(hash, word)``: ln P(word | toxic) - ln P(word | ordinary), per symbol.
+
+    With ``p0 = 1/256``, the shared estimate of order n is ``base + slope * p(n-1)`` of the n-gram without its first symbol; the longest
+    n-gram at a place is estimated by class and backs off to it. A context has at most 256 n-grams, so no key of these joins is hot but
+    those of the first orders, which are few.
+    """
+    placed = cut_lineage(words.mapInArrow(_placed, "hash bigint, key bigint, context bigint, tail bigint, n int, top boolean"))
+    lower = placed.filter("NOT top").select("n", "key", "context", "tail").distinct()
+    total = F.coalesce("follow_sum", F.lit(0))
+    seen = lower.join(model.tails, "key", "left").join(model.tail_contexts, "context", "left")
+    shares = cut_lineage(seen.select(
+        "n", "key", "tail", F.when(total > 0, F.greatest(F.coalesce("follow", F.lit(0)) - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0).alias("base"),
+        F.when(total > 0, DISCOUNT * F.col("follow_kinds") / total).otherwise(1.0).alias("slope")))
+    level = shares.filter("n = 1").select("key", (F.col("base") + F.col("slope") / 256).alias("p"))
+    levels = level
+    for n in range(2, ORDER):
+        below = level.select(F.col("key").alias("tail"), F.col("p").alias("below"))
+        level = cut_lineage(shares.filter(F.col("n") == n).join(below, "tail").select("key", (F.col("base") + F.col("slope") * F.col("below")).alias("p")))
+        levels = levels.unionByName(level)
+
+    longest = placed.filter("top").select("n", "key", "context", "tail").distinct()
+    known = longest.join(model.grams, "key", "left").join(model.contexts, "context", "left").join(
+        levels.select(F.col("key").alias("tail"), F.col("p").alias("behind")), "tail")
+
+    def chance(kind: str):
+        total = F.coalesce(f"{kind}_sum", F.lit(0))
+        own = F.greatest(F.coalesce(kind, F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{kind}_kinds") * F.col("behind")
+        return F.when(total > 0, own / total).otherwise(F.col("behind"))
+
+    # Decimals: their sums don't depend on the order of the rows.
+    logs = cut_lineage(known.select("n", "key", (F.log(chance("toxic")) - F.log(chance("plain"))).cast("decimal(18,12)").alias("log_ratio")))
+    ends = placed.filter("top").select("n", "hash", "key")
+    # Up to order 3 an n-gram begins its word and has at most two free bytes: at most 65,792 rows, each in very many words.
+    few, many = ends.filter("n <= 3").join(F.broadcast(logs.filter("n <= 3").drop("n")), "key"), ends.filter("n > 3").join(
+        logs.filter("n > 3").drop("n"), "key")
+    return few.unionByName(many).groupBy("hash").agg((F.sum("log_ratio").cast("double") / F.count("*")).alias("ratio"))
+
+
+def _found(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hashes stand in the sorted ``known``, and whether they do."""
+    at = np.searchsorted(known, hashes)
+    there = at < len(known)
+    there[there] = known[at[there]] == hashes[there]
+    return at, there
+
+
+def _features(column: pa.Array, common: tuple[np.ndarray, np.ndarray], rare: list | None = None) -> np.ndarray:
+    """Per text: the best passage of each length, the best words, the mean of all words, and the number of words (log).
+
+    ``rare`` lists for each text the (hash, ratio) of its words that are not common."""
+    which, before, _, hashes = _unique_words(column)
+    at, there = _found(common[0], hashes)
+    own = np.zeros(len(hashes))
+    own[there] = common[1][at[there]]
+    by_hash = {h: i for i, h in enumerate(hashes.tolist())} if rare else {}
+    for listed in rare or []:
+        for x in listed or []:
+            own[by_hash[x["hash"]]] = x["ratio"]
+    ratios = own[which]
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    out = np.zeros((len(column), len(PASSAGES) + BEST_WORDS + 2))
+    for i, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
+        n = b - a
+        if n:
+            for k, size in enumerate(PASSAGES):
+                size = min(size, n)
+                out[i, k] = (sums[a + size:b + 1] - sums[a:b + 1 - size]).max() / size
+            best = np.partition(ratios[a:b], max(0, n - BEST_WORDS))[-BEST_WORDS:]
+            best = np.sort(best)[::-1]
+            out[i, len(PASSAGES):len(PASSAGES) + len(best)] = best
+            out[i, -2] = (sums[b] - sums[a]) / n
+            out[i, -1] = np.log1p(n)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -156,55 +204,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def _array(df: DataFrame, key: str, **sums) -> dict[str, np.ndarray]:
-    """Sums by hashed key as arrays of 2 ** BITS: as many rows reach the driver at most."""
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = _slot(batch.column("slot").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns[1:]], batch.schema.names)
+def _rare_words(rows: DataFrame, model: Model) -> DataFrame:
+    """(row1, row2, rare): the words of each row that are not common, with their ratios."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.common[0])
 
-    rows = df.select(F.col(key).alias("slot"), *[F.expr(v).cast("bigint").alias(k) for k, v in sums.items()])
-    rows = rows.mapInArrow(slotted, rows.schema).groupBy("slot").agg(*[F.sum(k).alias(k) for k in sums]).toArrow()
-    out = {}
-    for k in sums:
-        out[k] = np.zeros(1 << BITS, np.float32)
-        out[k][rows.column("slot").to_numpy()] = rows.column(k).to_numpy()
-    return out
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "transcript"):
+            which, before, spellings, hashes = _unique_words(batch.column("transcript"))
+            absent = ~_found(shared.value, hashes)[1]
+            text = np.repeat(np.arange(len(batch)), np.diff(before))[absent[which]]
+            pairs = np.unique(np.column_stack([text, which[absent[which]]]), axis=0)
+            ids = [batch.column(c).take(pa.array(pairs[:, 0])) for c in ("row1", "row2")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(hashes[pairs[:, 1]]), pa.array([spellings[k] for k in pairs[:, 1].tolist()], pa.binary())],
+                                             ["row1", "row2", "hash", "word"])
+
+    found = cut_lineage(rows.select("row1", "row2", "transcript").mapInArrow(missing, "row1 bigint, row2 bigint, hash bigint, word binary").distinct())
+    ratios = word_ratios(found.select("hash", "word").distinct(), model)
+    return found.select("row1", "row2", "hash").join(ratios, "hash").groupBy("row1", "row2").agg(F.collect_list(F.struct("hash", "ratio")).alias("rare"))
+
+
+def _described(rows: DataFrame, model: Model, fitted: bool, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``rows`` and the features ``x array<double>`` of their transcripts."""
+    rows = rows.select(*keep, *[c for c in ("transcript",) if c not in keep])
+    if not (fitted and model.all_common):
+        # Equal rows share their number: they hold the same words.
+        ids = rows.withColumns({f"row{k}": F.xxhash64(F.lit(k), *[F.col(c) for c in rows.columns]) for k in (1, 2)})
+        rows = ids.join(_rare_words(ids, model), ["row1", "row2"], "left").drop("row1", "row2")
+    shared = rows.sparkSession.sparkContext.broadcast(model.common)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "transcript"):
+            rare = batch.column("rare").to_pylist() if "rare" in batch.schema.names else None
+            x = _features(batch.column("transcript"), shared.value, rare)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "x"])
+
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(described, schema)
 
 
-def fit(transcripts: DataFrame, feedback: DataFrame, sample: int = 30_000, seed: int = 5) -> Model:
+def fit(transcripts: DataFrame, feedback: DataFrame, sample: int = 30_000, common: int = COMMON, seed: int = 5) -> Model:
     """Learn from ``feedback(video_id, toxic)`` what sets toxic transcripts apart.
 
-    The fit takes at most ``sample`` labelled rows, those of the smallest hash (the documented bound; they are broadcast, so no
-    transcript is shuffled). Three in four of them are counted for the language models, the others calibrate the comparison.
-    The highest order is counted by class; all lower orders are continuation counts over both classes together, so rare and unseen
-    expressions fall back on the same counts. Without labels of both classes nothing can be learnt, and all scores are 0.
+    One labelled row in four, at most ``sample`` of them (those of the smallest hash, the documented bound), calibrates the comparison;
+    all other labelled rows are counted for the language models, whatever their number. The highest order is counted by class; all
+    lower orders are continuation counts over the words of all transcripts, labelled or not, so rare and unseen expressions fall back
+    on the same counts. Words have their ratios in a table; ``common`` bounds those that are sent to all tasks. Without labels of both
+    classes nothing can be learnt, and all scores are 0.
     """
     rank = F.xxhash64("video_id", F.lit(seed))
     labels = feedback.select("video_id", "toxic").dropna().groupBy("video_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labels = labels.orderBy(rank, "video_id").limit(sample).withColumn("counted", F.pmod(rank, F.lit(4)) > 0)
-    rows = transcripts.select("video_id", "transcript").join(F.broadcast(labels), "video_id")
-
-    words = rows.filter("counted").select("transcript", "toxic").mapInArrow(_spelled, "word binary, toxic bigint, plain bigint")
-    words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    kinds = words.mapInArrow(_counted, "key bigint, context bigint, tail bigint, tail_context bigint, toxic bigint, plain bigint").groupBy(
-        "key", "context", "tail", "tail_context").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).cache()
-    follow = kinds.groupBy("tail", "tail_context").agg(F.count("*").alias("n"))
-    tables = (_array(kinds, "key", toxic="toxic", plain="plain")
-              | _array(kinds, "context", toxic_sum="toxic", plain_sum="plain", toxic_kinds="toxic > 0", plain_kinds="plain > 0")
-              | _array(follow, "tail", follow="n") | _array(follow, "tail_context", follow_sum="n", follow_kinds="1"))
-    kinds.unpersist()
-    model = Model(tables)
-    shared = transcripts.sparkSession.sparkContext.broadcast(model.sent())
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        received = Model.received(shared.value)
-        for batch in text_slices(batches, "transcript"):
-            x = received.features(batch.column("transcript"))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "x"])
-
-    seen = rows.filter("NOT counted").select("transcript", "toxic").mapInArrow(described, "toxic int, x array<double>").toArrow()
+    calibrating = cut_lineage(labels.filter(F.pmod(rank, F.lit(4)) == 0).orderBy(rank, "video_id").limit(sample))
+    counted = labels.join(calibrating.select("video_id"), "video_id", "left_anti")
+
+    rows = transcripts.select("video_id", "transcript").join(counted, "video_id", "left").select("transcript", "toxic")
+    words = cut_lineage(rows.mapInArrow(_spelled, "hash bigint, word binary, n bigint, toxic bigint, plain bigint").groupBy("hash").agg(
+        F.any_value("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", "toxic", "plain")]))
+    kinds = cut_lineage(words.mapInArrow(_counted, "key bigint, context bigint, tail bigint, tail_context bigint, toxic bigint, plain bigint").groupBy(
+        "key").agg(*[F.any_value(c).alias(c) for c in ("context", "tail", "tail_context")], *[F.sum(c).alias(c) for c in ("toxic", "plain")]))
+    follow = cut_lineage(kinds.groupBy(F.col("tail").alias("key")).agg(F.any_value("tail_context").alias("context"), F.count("*").alias("follow")))
+    model = Model(
+        kinds.filter("toxic + plain > 0").select("key", "toxic", "plain"),
+        cut_lineage(kinds.groupBy("context").agg(*[F.sum(k).alias(f"{k}_sum") for k in ("toxic", "plain")],
+                                                 *[F.count_if(F.col(k) > 0).alias(f"{k}_kinds") for k in ("toxic", "plain")])),
+        follow.select("key", "follow"),
+        cut_lineage(follow.groupBy("context").agg(F.sum("follow").alias("follow_sum"), F.count("*").alias("follow_kinds"))))
+    model.ratios = cut_lineage(words.select("hash", "n").join(word_ratios(words.select("hash", "word"), model), "hash"))
+    model.all_common = model.ratios.count() <= common
+    chosen = model.ratios if model.all_common else model.ratios.orderBy(F.desc("n"), "hash").limit(common)
+    listed = chosen.select("hash", "ratio").toArrow().sort_by("hash")
+    model.common = listed.column("hash").to_numpy(), listed.column("ratio").to_numpy()
+
+    # At most ``sample`` ids, so they are broadcast and no transcript is shuffled.
+    held = transcripts.select("video_id", "transcript").join(F.broadcast(calibrating), "video_id").select("toxic", "transcript")
+    seen = _described(held, model, True, ["toxic"]).toArrow()
     y = seen.column("toxic").to_numpy().astype(float)
     width = len(PASSAGES) + BEST_WORDS + 2
     x = np.concatenate([c.flatten().to_numpy() for c in seen.column("x").chunks] or [np.zeros(0)]).reshape(-1, width)
@@ -215,20 +288,18 @@ def fit(transcripts: DataFrame, feedback: DataFrame, sample: int = 30_000, seed:
     return model
 
 
-def score_toxicity(transcripts: DataFrame, model: Model) -> DataFrame:
+def score_toxicity(transcripts: DataFrame, model: Model, fitted: bool = False) -> DataFrame:
     """Score every whole transcript between 0 and 1; higher means likelier toxic.
 
     ``transcripts(video_id, transcript)``. Returns ``(video_id, transcript, score double)``, one row per row. A word's log-ratio is its
     log-likelihood under the toxic model less that under the ordinary one, divided by its length. Means over passages of 1 to 32
-    words, the best words and the mean of the whole text are compared by a calibrated logistic. Only the text enters the score. NULL and
-    empty transcripts count as a text of no words; repeated rows get equal scores; other columns are not carried.
+    words, the best words and the mean of the whole text are compared by a calibrated logistic. Only the text enters the score. Words
+    that are not among the model's common ones get their ratios by joins; ``fitted`` says that the model was fitted on these
+    transcripts, so that there are none where all of its words are common. NULL and empty transcripts count as a text of no words;
+    repeated rows get equal scores; other columns are not carried.
     """
-    shared = transcripts.sparkSession.sparkContext.broadcast(model.sent())
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        received = Model.received(shared.value)
-        for batch in text_slices(batches, "transcript"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(received.scores(batch.column("transcript")))], [*batch.schema.names, "score"])
-
-    rows = transcripts.select("video_id", "transcript")
-    return rows.mapInArrow(scored, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    x = F.transform(F.arrays_zip("x", F.lit(model.means.tolist()).alias("mean"), F.lit(model.spreads.tolist()).alias("spread"),
+                                 F.lit(model.weights[1:].tolist()).alias("weight")), lambda c: (c["x"] - c["mean"]) / c["spread"] * c["weight"])
+    total = F.aggregate(x, F.lit(float(model.weights[0])), lambda a, c: a + c)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
+    return _described(transcripts, model, fitted, ["video_id", "transcript"]).select("video_id", "transcript", score.alias("score"))

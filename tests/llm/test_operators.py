@@ -253,6 +253,51 @@ def test_toxicity_on_held_out_rows(spark, awkward, empty):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(df.limit(5), blank).collect()} == {0.0}
 
 
+def test_word_ratios_equal_plain_kneser_ney(spark):
+    """Against the definition over dictionaries: class counts of labelled rows, continuations of the words of all rows."""
+    texts = [(1, "Bad badder banana", 1), (2, "good banana, ban BAN!", 0), (3, "gooder bad ox", 0), (4, "bade goods xylo x", None), (5, None, 1), (6, "", 0)]
+    df = spark.createDataFrame(texts, "video_id bigint, transcript string, toxic int")
+    model = toxicity.fit(df, df.select("video_id", "toxic"))
+    held = {r.video_id for r in df.dropna(subset=["toxic"]).filter(F.pmod(F.xxhash64("video_id", F.lit(5)), F.lit(4)) == 0).collect()}
+    counts = {1: Counter(), 0: Counter()}
+    kinds = set()
+    grams = lambda w: [(w[max(0, i - 5):i + 1]) for i in range(1, len(w))]
+    for key, text, label in texts:
+        for w in re.findall("[a-z]+", (text or "").lower()):
+            for top in grams(f"<{w}>"):
+                kinds |= {top[k:] for k in range(len(top) - 1)}
+                if label is not None and key not in held:
+                    counts[label][top] += 1
+    follow = Counter(g[1:] for g in kinds)
+
+    def smoothed(table, gram, behind):
+        same = [c for g, c in table.items() if g[:-1] == gram[:-1] and len(g) == len(gram) and c > 0]
+        return (max(table[gram] - 0.75, 0) + 0.75 * len(same) * behind) / sum(same) if same else behind
+
+    def shared(gram):
+        return 1 / 256 if not gram else smoothed(follow, gram, shared(gram[1:]))
+
+    words = ["bad", "banana", "good", "xylo", "x", "unheard", "ban", "zq", "goods"]
+    rows = spark.createDataFrame([(i, w.encode()) for i, w in enumerate(words)], "hash bigint, word binary")
+    got = {words[r.hash]: r.ratio for r in toxicity.word_ratios(rows, model).collect()}
+    for w in words:
+        logs = [np.log(smoothed(counts[1], g, shared(g[1:]))) - np.log(smoothed(counts[0], g, shared(g[1:]))) for g in grams(f"<{w}>")]
+        assert got[w] == pytest.approx(sum(logs) / len(logs), abs=1e-9), w
+    assert any(got.values())
+
+
+def test_scores_do_not_depend_on_which_words_are_common(spark, awkward):
+    rows = [(i, f"word{i % 7} plain text {'grotz vulk' if i % 3 == 0 else 'rest'} n{i}", int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "video_id bigint, transcript string, toxic int")
+    both = [toxicity.fit(df, df.select("video_id", "toxic"), common=n) for n in (5, 10_000)]
+    assert not both[0].all_common and both[1].all_common
+    more = df.unionByName(awkward.select("video_id", "transcript", F.lit(0).alias("toxic")))
+    scores = [sorted((r.video_id or 0, r.transcript or "", r.score) for r in toxicity.score_toxicity(more, m).collect()) for m in both]
+    assert len(scores[0]) == 120 + len(AWKWARD)
+    for a, b in zip(*scores, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-9)
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------------------------
 
 def test_fixity(spark):
