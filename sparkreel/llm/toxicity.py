@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkreel.llm.shingles import LOWER, mixed, span_hashes, text_buffer, text_slices, word_spans
+from sparkreel.llm.shingles import LOWER, text_buffer, text_slices, word_spans
 from sparkreel.session import cut_lineage
 
 #: A symbol is predicted from the up to five before it in its word.
@@ -36,22 +36,21 @@ def _unique_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]
     return which, before, spellings, unique.view(np.int64)
 
 
-def _grams(spellings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(spellings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each predicted symbol of each word: the word's number, how long an n-gram ends there (at most ORDER), and by order
-    (columns 1 to ORDER) the keys of the n-gram and of its context."""
-    symbols = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in spellings), np.uint8)
+    (rows 1 to ORDER) the n-gram itself: its bytes as one number, below its order."""
+    symbols = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in spellings), np.uint8).astype(np.int64)
     sizes = np.array([len(w) + 2 for w in spellings], np.int64)
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(symbols))
     at = place[place > begin]
     word = np.repeat(np.arange(len(spellings)), sizes)[at]
     longest = np.minimum(at - begin[at] + 1, ORDER)
-    keys, contexts = np.zeros((ORDER + 1, len(at)), np.uint64), np.zeros((ORDER + 1, len(at)), np.uint64)
+    grams, body = np.zeros((ORDER + 1, len(at)), np.int64), np.zeros(len(at), np.int64)
     for n in range(1, ORDER + 1):
-        start = np.maximum(at - n + 1, 0)
-        keys[n] = mixed(span_hashes(symbols, start, at + 1) + np.uint64(n))
-        contexts[n] = mixed(span_hashes(symbols, start, at) + np.uint64(n))
-    return word, longest, keys.view(np.int64), contexts.view(np.int64)
+        body = body | symbols[np.maximum(at - n + 1, 0)] << 8 * (n - 1)
+        grams[n] = body | n << 48
+    return word, longest, grams
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,47 +64,49 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of distinct words: key, context, and key and context without the first symbol; counts only where the n-gram is the
-    longest at its place."""
+    """n-grams of distinct words, from order 2 on; counts only where the n-gram is the longest at its place."""
     for batch in batches:
-        word, longest, keys, contexts = _grams(batch.column("word").to_pylist())
+        word, longest, grams = _grams(batch.column("word").to_pylist())
         weights = [batch.column(c).to_numpy(zero_copy_only=False)[word] for c in ("toxic", "plain")]
         for n in range(2, ORDER + 1):
             there = longest >= n
+            found, which = np.unique(grams[n][there], return_inverse=True)
             top = (longest == n)[there]
-            arrays = [x[there] for x in (keys[n], contexts[n], keys[n - 1], contexts[n - 1])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), *[pa.array(np.where(top, w[there], 0)) for w in weights]],
-                                             ["key", "context", "tail", "tail_context", "toxic", "plain"])
+            sums = [np.bincount(which, np.where(top, w[there], 0), len(found)).astype(np.int64) for w in weights]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (found, *sums))], ["gram", "toxic", "plain"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of words by place: the longest one (``top``, with the word's hash) and those it backs off to, once a batch."""
+def _backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams that the longest ones of the words back off to, each once a batch."""
     for batch in batches:
-        word, longest, keys, contexts = _grams(batch.column("word").to_pylist())
-        hashes = batch.column("hash").to_numpy(zero_copy_only=False)
-        for n in range(1, ORDER + 1):
-            for top in (True, False):
-                there = np.flatnonzero(longest == n if top else longest > n)
-                if not top:
-                    there = there[np.unique(keys[n][there], return_index=True)[1]]
-                arrays = [hashes[word[there]] if top else np.zeros(len(there), np.int64), keys[n][there], contexts[n][there], keys[n - 1][there]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(np.full(len(there), n, np.int32)), pa.array(np.full(len(there), top))],
-                                                 ["hash", "key", "context", "tail", "n", "top"])
+        _, longest, grams = _grams(batch.column("word").to_pylist())
+        for n in range(1, ORDER):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams[n][longest > n]))], ["gram"])
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longest n-gram of each place of each word."""
+    for batch in batches:
+        word, longest, grams = _grams(batch.column("word").to_pylist())
+        own = grams[longest, np.arange(len(word))]
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column("hash").to_numpy(zero_copy_only=False)[word]), pa.array(own)], ["hash", "gram"])
+
+
+# SQL: an n-gram's order, its context (the last symbol blanked) and what it backs off to (without the first symbol).
+N = "int(shiftright(gram, 48))"
+CONTEXT = "gram & ~255L"
+TAIL = f"shiftleft(bigint({N} - 1), 48) | (gram & (shiftleft(1L, 8 * ({N} - 1)) - 1))"
 
 
 @dataclass
 class Model:
     """Counts of n-grams by key, ratios of the words they were counted in, and the weights of the calibrated comparison.
 
-    ``grams(key, toxic, plain)`` and ``contexts(context, toxic_sum, plain_sum, toxic_kinds, plain_kinds)`` count the highest order by
-    class, ``tails(key, follow)`` and ``tail_contexts(context, follow_sum, follow_kinds)`` the continuations all lower orders rest on.
-    Keys are 64-bit fingerprints. ``ratios(hash, ratio, n)`` holds the words of the transcripts the model was fitted on; ``common``
+    ``grams(gram, toxic, plain)`` holds every n-gram of order 2 and more and, where it was the longest at its place, its counts by
+    class; the sums by context and the continuations all lower orders rest on follow from it. ``ratios(hash, ratio, n)`` holds the words of the transcripts the model was fitted on; ``common``
     are the hashes and ratios of the commonest, ``all_common`` says whether these are all.
     """
     grams: DataFrame
-    contexts: DataFrame
-    tails: DataFrame
-    tail_contexts: DataFrame
     ratios: DataFrame | None = None
     common: tuple[np.ndarray, np.ndarray] | None = None
     all_common: bool = False
@@ -121,23 +122,30 @@ def word_ratios(words: DataFrame, model: Model) -> DataFrame:
     n-gram at a place is estimated by class and backs off to it. A context has at most 256 n-grams, so no key of these joins is hot but
     those of the first orders, which are few.
     """
-    placed = cut_lineage(words.mapInArrow(_placed, "hash bigint, key bigint, context bigint, tail bigint, n int, top boolean"))
-    lower = placed.filter("NOT top").select("n", "key", "context", "tail").distinct()
+    tails = model.grams.groupBy(F.expr(TAIL).alias("gram")).agg(F.count("*").alias("follow"))
+    tail_contexts = tails.groupBy(F.expr(CONTEXT).alias("context")).agg(F.sum("follow").alias("follow_sum"), F.count("*").alias("follow_kinds"))
+    lower = words.select("word").mapInArrow(_backed_off, "gram bigint").distinct()
+    seen = lower.join(tails, "gram", "left").withColumn("context", F.expr(CONTEXT)).join(tail_contexts, "context", "left")
     total = F.coalesce("follow_sum", F.lit(0))
-    seen = lower.join(model.tails, "key", "left").join(model.tail_contexts, "context", "left")
     shares = cut_lineage(seen.select(
-        "n", "key", "tail", F.when(total > 0, F.greatest(F.coalesce("follow", F.lit(0)) - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0).alias("base"),
+        "gram", F.when(total > 0, F.greatest(F.coalesce("follow", F.lit(0)) - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0).alias("base"),
         F.when(total > 0, DISCOUNT * F.col("follow_kinds") / total).otherwise(1.0).alias("slope")))
-    level = shares.filter("n = 1").select("key", (F.col("base") + F.col("slope") / 256).alias("p"))
+    level = shares.filter(f"{N} = 1").select("gram", (F.col("base") + F.col("slope") / 256).alias("p"))
     levels = level
     for n in range(2, ORDER):
-        below = level.select(F.col("key").alias("tail"), F.col("p").alias("below"))
-        level = cut_lineage(shares.filter(F.col("n") == n).join(below, "tail").select("key", (F.col("base") + F.col("slope") * F.col("below")).alias("p")))
+        below = level.select(F.col("gram").alias("tail"), F.col("p").alias("below"))
+        level = shares.filter(f"{N} = {n}").withColumn("tail", F.expr(TAIL)).join(below, "tail").select(
+            "gram", (F.col("base") + F.col("slope") * F.col("below")).alias("p"))
+        # The first orders are few rows; written, they cut the chain.
+        level = cut_lineage(level) if n <= 3 else level
         levels = levels.unionByName(level)
 
-    longest = placed.filter("top").select("n", "key", "context", "tail").distinct()
-    known = longest.join(model.grams, "key", "left").join(model.contexts, "context", "left").join(
-        levels.select(F.col("key").alias("tail"), F.col("p").alias("behind")), "tail")
+    contexts = model.grams.groupBy(F.expr(CONTEXT).alias("context")).agg(
+        *[F.sum(k).alias(f"{k}_sum") for k in ("toxic", "plain")], *[F.count_if(F.col(k) > 0).alias(f"{k}_kinds") for k in ("toxic", "plain")])
+    ends = words.select("hash", "word").mapInArrow(_longest, "hash bigint, gram bigint")
+    longest = ends.select("gram").distinct().withColumns({"context": F.expr(CONTEXT), "tail": F.expr(TAIL)})
+    known = longest.join(model.grams, "gram", "left").join(contexts, "context", "left").join(
+        levels.select(F.col("gram").alias("tail"), F.col("p").alias("behind")), "tail")
 
     def chance(kind: str):
         total = F.coalesce(f"{kind}_sum", F.lit(0))
@@ -145,11 +153,11 @@ def word_ratios(words: DataFrame, model: Model) -> DataFrame:
         return F.when(total > 0, own / total).otherwise(F.col("behind"))
 
     # Decimals: their sums don't depend on the order of the rows.
-    logs = cut_lineage(known.select("n", "key", (F.log(chance("toxic")) - F.log(chance("plain"))).cast("decimal(18,12)").alias("log_ratio")))
-    ends = placed.filter("top").select("n", "hash", "key")
+    logs = cut_lineage(known.select("gram", (F.log(chance("toxic")) - F.log(chance("plain"))).cast("decimal(18,12)").alias("log_ratio")))
     # Up to order 3 an n-gram begins its word and has at most two free bytes: at most 65,792 rows, each in very many words.
-    few, many = ends.filter("n <= 3").join(F.broadcast(logs.filter("n <= 3").drop("n")), "key"), ends.filter("n > 3").join(
-        logs.filter("n > 3").drop("n"), "key")
+    short = f"{N} <= 3"
+    few = ends.filter(short).join(F.broadcast(logs.filter(short)), "gram")
+    many = ends.filter(f"NOT {short}").join(logs.filter(f"NOT {short}"), "gram")
     return few.unionByName(many).groupBy("hash").agg((F.sum("log_ratio").cast("double") / F.count("*")).alias("ratio"))
 
 
@@ -258,17 +266,10 @@ def fit(transcripts: DataFrame, feedback: DataFrame, sample: int = 30_000, commo
     counted = labels.join(calibrating.select("video_id"), "video_id", "left_anti")
 
     rows = transcripts.select("video_id", "transcript").join(counted, "video_id", "left").select("transcript", "toxic")
-    words = cut_lineage(rows.mapInArrow(_spelled, "hash bigint, word binary, n bigint, toxic bigint, plain bigint").groupBy("hash").agg(
-        F.any_value("word").alias("word"), *[F.sum(c).alias(c) for c in ("n", "toxic", "plain")]))
-    kinds = cut_lineage(words.mapInArrow(_counted, "key bigint, context bigint, tail bigint, tail_context bigint, toxic bigint, plain bigint").groupBy(
-        "key").agg(*[F.any_value(c).alias(c) for c in ("context", "tail", "tail_context")], *[F.sum(c).alias(c) for c in ("toxic", "plain")]))
-    follow = cut_lineage(kinds.groupBy(F.col("tail").alias("key")).agg(F.any_value("tail_context").alias("context"), F.count("*").alias("follow")))
-    model = Model(
-        kinds.filter("toxic + plain > 0").select("key", "toxic", "plain"),
-        cut_lineage(kinds.groupBy("context").agg(*[F.sum(k).alias(f"{k}_sum") for k in ("toxic", "plain")],
-                                                 *[F.count_if(F.col(k) > 0).alias(f"{k}_kinds") for k in ("toxic", "plain")])),
-        follow.select("key", "follow"),
-        cut_lineage(follow.groupBy("context").agg(F.sum("follow").alias("follow_sum"), F.count("*").alias("follow_kinds"))))
+    words = cut_lineage(rows.mapInArrow(_spelled, "hash bigint, word binary, n bigint, toxic bigint, plain bigint").groupBy("hash", "word").agg(
+        *[F.sum(c).alias(c) for c in ("n", "toxic", "plain")]))
+    model = Model(cut_lineage(words.mapInArrow(_counted, "gram bigint, toxic bigint, plain bigint").groupBy("gram").agg(
+        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))))
     model.ratios = cut_lineage(words.select("hash", "n").join(word_ratios(words.select("hash", "word"), model), "hash"))
     model.all_common = model.ratios.count() <= common
     chosen = model.ratios if model.all_common else model.ratios.orderBy(F.desc("n"), "hash").limit(common)
